@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm.token_counts import op4_token_counts
+from tidewell.llm import mixing, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_token_counts": op4_token_counts,
+    "op1_quality": quality.op1_quality,
+    "op4_token_counts": token_counts.op4_token_counts,
+    "op8_mixing": mixing.op8_mixing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_mixing": mixing.SQL,
+}
