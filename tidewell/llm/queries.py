@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import mixing, quality, token_counts
+from tidewell.llm import chat, minhash, mixing, quality, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op5_warc": warc.op5_warc,
+    "op6_near_duplicates": minhash.op6_near_duplicates,
+    "op7_chat_format": chat.op7_chat_format,
     "op8_mixing": mixing.op8_mixing,
 }
 
 SQL: dict[str, str] = {
+    "op5_warc": warc.SQL,
+    "op6_near_duplicates": minhash.SQL,
+    "op7_chat_format": chat.SQL,
     "op8_mixing": mixing.SQL,
 }
