@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import chat, minhash, mixing, quality, token_counts, warc
+from tidewell.llm import chat, minhash, mixing, quality, token_counts, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
+    "op3_url_filter": url_filter.op3_url_filter,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_warc": warc.op5_warc,
     "op6_near_duplicates": minhash.op6_near_duplicates,
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_url_filter": url_filter.SQL,
     "op5_warc": warc.SQL,
     "op6_near_duplicates": minhash.SQL,
     "op7_chat_format": chat.SQL,
