@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import chat, minhash, mixing, quality, token_counts, url_filter, warc
+from tidewell.llm import chat, embeddings, minhash, mixing, quality, token_counts, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_near_duplicates": minhash.op6_near_duplicates,
     "op7_chat_format": chat.op7_chat_format,
     "op8_mixing": mixing.op8_mixing,
+    "op9_near_vectors": embeddings.op9_near_vectors,
 }
 
 SQL: dict[str, str] = {
@@ -24,4 +25,5 @@ SQL: dict[str, str] = {
     "op6_near_duplicates": minhash.SQL,
     "op7_chat_format": chat.SQL,
     "op8_mixing": mixing.SQL,
+    "op9_near_vectors": embeddings.SQL,
 }
