@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import chat, embeddings, minhash, mixing, quality, token_counts, url_filter, warc
+from tidewell.llm import chat, embeddings, minhash, mixing, pieces, quality, token_counts, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_chat_format": chat.op7_chat_format,
     "op8_mixing": mixing.op8_mixing,
     "op9_near_vectors": embeddings.op9_near_vectors,
+    "op10_pieces": pieces.op10_pieces,
 }
 
 SQL: dict[str, str] = {
