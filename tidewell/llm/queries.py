@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import chat, embeddings, minhash, mixing, pieces, quality, token_counts, url_filter, warc
+from tidewell.llm import chat, embeddings, licences, minhash, mixing, pieces, quality, token_counts, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
+    "op2_licences": licences.op2_licences,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_warc": warc.op5_warc,
