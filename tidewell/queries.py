@@ -33,7 +33,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An integer series of quantities for each return flag; many points share a day."""
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    seq = F.col("l_orderkey").cast("long") * 8 + F.col("l_linenumber")
+    seq = ((F.col("l_orderkey").cast("long") * 8 + F.col("l_linenumber")) * 4096 + F.col("l_partkey") % 4096) * 64 + F.col("l_quantity").cast("long")
     return from_frame(df, F.col("l_returnflag"), micros(F.col("l_shipdate")), F.col("l_quantity").cast("long"), "integer", seq)
 
 
@@ -55,7 +55,7 @@ def engine(spark: SparkSession, sf_dir: str, *tables: str) -> Engine:
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(c, 4).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+    return df.select(*[F.round(c, 7).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
 def asked(text: str, *tables: str, first: tuple[str, ...] = ()) -> Make:
@@ -73,7 +73,7 @@ def asked(text: str, *tables: str, first: tuple[str, ...] = ()) -> Make:
 SOURCES = """
 WITH events_ AS (SELECT event_type AS series, epoch_us(ts) AS ts, event_id AS seq, value FROM events),
 users_ AS (SELECT 'user-' || user_id AS series, epoch_us(ts) AS ts, event_id AS seq, value FROM events),
-lines_ AS (SELECT l_returnflag AS series, epoch_us(l_shipdate) AS ts, l_orderkey * 8 + l_linenumber AS seq, CAST(l_quantity AS BIGINT) AS value FROM lineitem),
+lines_ AS (SELECT l_returnflag AS series, epoch_us(l_shipdate) AS ts, ((l_orderkey * 8 + l_linenumber) * 4096 + l_partkey % 4096) * 64 + CAST(l_quantity AS BIGINT) AS seq, CAST(l_quantity AS BIGINT) AS value FROM lineitem),
 texts_ AS (SELECT lang AS series, doc_id AS ts, 0 AS seq, text AS value FROM documents)
 """
 RECURSIVE = SOURCES.replace("WITH events_", "WITH RECURSIVE events_", 1)
@@ -99,43 +99,43 @@ SAME = {
 }
 for _name, _sql in {**DOUBLES, **SAME, "count": "count(*)"}.items():
     _exact = _name == "count"
-    _value = _sql if _exact else f"round({_sql}, 4)"
+    _value = _sql if _exact else f"round({_sql}, 7)"
     add(f"{_name}_g", asked(f"select {_name}(1h) from *"), f"SELECT series, {label(HOUR)} AS ts, {_value} AS value FROM events_ GROUP BY 1, 2")
     _ts = "min(ts)" if _name == "first" else "max(ts)"
     add(f"{_name}_all", asked(f"select {_name}() from *", "users"), f"SELECT series, {_ts} AS ts, {_value} AS value FROM users_ GROUP BY 1")
-    _int = f"round({_sql}, 4)" if _name in DOUBLES else f"CAST({_sql} AS BIGINT)"
+    _int = f"round({_sql}, 7)" if _name in DOUBLES else f"CAST({_sql} AS BIGINT)"
     add(f"{_name}_g_integer", asked(f"select {_name}(4w) from *", "lines"), f"SELECT series, {label(28 * DAY)} AS ts, {_int} AS value FROM lines_ GROUP BY 1, 2")
 
-add("difference_g", asked("select difference(1h) from *"), f"SELECT series, {label(HOUR)} AS ts, round(arg_max(value, (ts, seq)) - arg_min(value, (ts, seq)), 4) AS value FROM events_ GROUP BY 1, 2")
+add("difference_g", asked("select difference(1h) from *"), f"SELECT series, {label(HOUR)} AS ts, round(arg_max(value, (ts, seq)) - arg_min(value, (ts, seq)), 7) AS value FROM events_ GROUP BY 1, 2")
 add("difference_g_integer", asked("select difference(4w) from *", "lines"), f"SELECT series, {label(28 * DAY)} AS ts, CAST(arg_max(value, (ts, seq)) - arg_min(value, (ts, seq)) AS BIGINT) AS value FROM lines_ GROUP BY 1, 2")
-add("derivative_g", asked("select derivative(1d, 1h) from *"), f"SELECT series, {label(HOUR)} AS ts, round((arg_max(value, (ts, seq)) - arg_min(value, (ts, seq))) * 24.0, 4) AS value FROM events_ GROUP BY 1, 2")
+add("derivative_g", asked("select derivative(1d, 1h) from *"), f"SELECT series, {label(HOUR)} AS ts, round((arg_max(value, (ts, seq)) - arg_min(value, (ts, seq))) * 24.0, 7) AS value FROM events_ GROUP BY 1, 2")
 LAG = "SELECT series, ts, value, lag(value) OVER w AS before, ts - lag(ts) OVER w AS gap FROM {} WINDOW w AS (PARTITION BY series ORDER BY ts, seq)"
-add("difference", asked("select difference() from *", "users"), f"SELECT series, ts, round(value - before, 4) AS value FROM ({LAG.format('users_')}) WHERE before IS NOT NULL")
+add("difference", asked("select difference() from *", "users"), f"SELECT series, ts, round(value - before, 7) AS value FROM ({LAG.format('users_')}) WHERE before IS NOT NULL")
 add("difference_integer", asked("select difference() from *", "lines"), f"SELECT series, ts, CAST(value - before AS BIGINT) AS value FROM ({LAG.format('lines_')}) WHERE before IS NOT NULL")
-add("derivative", asked("select derivative(1h) from *", "users"), f"SELECT series, ts, round((value - before) / gap * {HOUR}.0, 4) AS value FROM ({LAG.format('users_')}) WHERE before IS NOT NULL")
+add("derivative", asked("select derivative(1h) from *", "users"), f"SELECT series, ts, round((value - before) / gap * {HOUR}.0, 7) AS value FROM ({LAG.format('users_')}) WHERE before IS NOT NULL")
 add("interval", asked("select interval() from *", "users"), f"SELECT series, ts, gap AS value FROM ({LAG.format('users_')}) WHERE gap IS NOT NULL")
 add("timeval", asked("select timeval() from *", "users"), "SELECT series, ts, ts AS value FROM users_")
-add("identity", asked("select * from *", "users"), "SELECT series, ts, round(value, 4) AS value FROM users_")
-add("points_identity", asked("select points from *", "users"), "SELECT series, ts, round(value, 4) AS value FROM users_")
+add("identity", asked("select * from *", "users"), "SELECT series, ts, round(value, 7) AS value FROM users_")
+add("points_identity", asked("select points from *", "users"), "SELECT series, ts, round(value, 7) AS value FROM users_")
 
 for _name, _op in {"gt": ">", "ge": ">=", "lt": "<", "le": "<=", "eq": "==", "ne": "!="}.items():
     add(f"filter_{_name}", asked(f"select filter({_op} 25) from *", "lines"), f"SELECT series, ts, value FROM lines_ WHERE value {_op} 25")
-add("filter_float", asked("select filter(> 50.5) from *"), "SELECT series, ts, round(value, 4) AS value FROM events_ WHERE value > 50.5")
+add("filter_float", asked("select filter(> 50.5) from *"), "SELECT series, ts, round(value, 7) AS value FROM events_ WHERE value > 50.5")
 add("filter_cast", asked("select filter(> 25.9) from *", "lines"), "SELECT series, ts, value FROM lines_ WHERE value > 25")
-add("filter_nan", asked("select filter(!= nan) => filter(< inf) from *"), "SELECT series, ts, round(value, 4) AS value FROM events_ WHERE NOT isnan(value) AND value < 'inf'::DOUBLE")
+add("filter_nan", asked("select filter(!= nan) => filter(< inf) from *"), "SELECT series, ts, round(value, 7) AS value FROM events_ WHERE NOT isnan(value) AND value < 'inf'::DOUBLE")
 add("filter_contains", asked('select filter(~ "the") from *', "texts"), "SELECT series, ts, value FROM texts_ WHERE contains(value, 'the')")
 add("filter_lacks", asked('select filter(!~ "the") from *', "texts"), "SELECT series, ts, value FROM texts_ WHERE NOT contains(value, 'the')")
 add("filter_regex", asked("select filter(/[A-M].*/) from *", "texts"), "SELECT series, ts, value FROM texts_ WHERE regexp_matches(value, '^[A-M][^\\n]*$')")
 add("filter_text", asked('select filter(>= "T") from *', "texts"), "SELECT series, ts, value FROM texts_ WHERE value >= 'T'")
 
 JAN = "epoch_us(TIMESTAMP '2024-01-{}')"
-add("after", asked('select * from * after "2024-01-20"'), f"SELECT series, ts, round(value, 4) AS value FROM events_ WHERE ts >= {JAN.format(20)}")
-add("before", asked('select * from * before "2024-01-05T12:00:00Z"'), f"SELECT series, ts, round(value, 4) AS value FROM events_ WHERE ts < {JAN.format('05 12:00:00')}")
-add("between", asked('select sum(1d) from * between "2024-01-10" and "2024-01-10" + 5d'), f"SELECT series, {label(DAY)} AS ts, round(sum(value), 4) AS value FROM events_ WHERE ts >= {JAN.format(10)} AND ts < {JAN.format(15)} GROUP BY 1, 2")
+add("after", asked('select * from * after "2024-01-20"'), f"SELECT series, ts, round(value, 7) AS value FROM events_ WHERE ts >= {JAN.format(20)}")
+add("before", asked('select * from * before "2024-01-05T12:00:00Z"'), f"SELECT series, ts, round(value, 7) AS value FROM events_ WHERE ts < {JAN.format('05 12:00:00')}")
+add("between", asked('select sum(1d) from * between "2024-01-10" and "2024-01-10" + 5d'), f"SELECT series, {label(DAY)} AS ts, round(sum(value), 7) AS value FROM events_ WHERE ts >= {JAN.format(10)} AND ts < {JAN.format(15)} GROUP BY 1, 2")
 RANK = "SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts {0}, seq {0}) AS k FROM {1}) WHERE k <= {2}"
-add("head", asked("select * from * head 7", "users"), f"SELECT series, ts, round(value, 4) AS value FROM ({RANK.format('ASC', 'users_', 7)})")
-add("tail", asked("select * from * tail 7", "users"), f"SELECT series, ts, round(value, 4) AS value FROM ({RANK.format('DESC', 'users_', 7)})")
-add("tail_mean", asked("select mean() from * tail 50", "lines"), f"SELECT series, max(ts) AS ts, round(avg(value), 4) AS value FROM ({RANK.format('DESC', 'lines_', 50)}) GROUP BY 1")
+add("head", asked("select * from * head 7", "users"), f"SELECT series, ts, round(value, 7) AS value FROM ({RANK.format('ASC', 'users_', 7)})")
+add("tail", asked("select * from * tail 7", "users"), f"SELECT series, ts, round(value, 7) AS value FROM ({RANK.format('DESC', 'users_', 7)})")
+add("tail_mean", asked("select mean() from * tail 50", "lines"), f"SELECT series, max(ts) AS ts, round(avg(value), 7) AS value FROM ({RANK.format('DESC', 'lines_', 50)}) GROUP BY 1")
 
 BY_NAME = "SELECT series, max(ts) AS ts, count(*) AS value FROM users_ WHERE {} GROUP BY 1"
 for _name, _match, _test in (
@@ -155,13 +155,13 @@ add("where_length", asked("select count() from * where length > 60 and (length <
 add("where_start", asked('select count() from * where start < "2024-01-01T06:00" and end >= "2024-01-29"', "users"), CATALOG + f"SELECT name AS series, \"end\" AS ts, length AS value FROM c WHERE start < {JAN.format('01 06:00:00')} AND \"end\" >= {JAN.format(29)}")
 add("where_type", asked("select count() from * where type == integer", "users", "lines"), "SELECT series, max(ts) AS ts, count(*) AS value FROM lines_ GROUP BY 1")
 
-add("chain_mean_difference", asked("select mean(1d) => difference() from *"), f", m AS (SELECT series, {label(DAY)} AS ts, avg(value) AS value FROM events_ GROUP BY 1, 2) SELECT * FROM (SELECT series, ts, round(value - lag(value) OVER (PARTITION BY series ORDER BY ts), 4) AS value FROM m) WHERE value IS NOT NULL")
+add("chain_mean_difference", asked("select mean(1d) => difference() from *"), f", m AS (SELECT series, {label(DAY)} AS ts, avg(value) AS value FROM events_ GROUP BY 1, 2) SELECT * FROM (SELECT series, ts, round(value - lag(value) OVER (PARTITION BY series ORDER BY ts), 7) AS value FROM m) WHERE value IS NOT NULL")
 add("chain_filter_count", asked("select filter(> 50) => count(1d) from *"), f"SELECT series, {label(DAY)} AS ts, count(*) AS value FROM events_ WHERE value > 50 GROUP BY 1, 2")
-_multi = f"SELECT 'lo-' || series AS series, {label(DAY)} AS ts, round(min(value), 4) AS value FROM events_ GROUP BY 1, 2 UNION ALL SELECT series || '-hi', {label(DAY)}, round(max(value), 4) FROM events_ GROUP BY 1, 2"
+_multi = f"SELECT 'lo-' || series AS series, {label(DAY)} AS ts, round(min(value), 7) AS value FROM events_ GROUP BY 1, 2 UNION ALL SELECT series || '-hi', {label(DAY)}, round(max(value), 7) FROM events_ GROUP BY 1, 2"
 add("multi_prefix_suffix", asked('select min(1d) prefix "lo-", max(1d) suffix "-hi" from *'), _multi)
-add("merge_as", asked('select * from /user-1.*/ merge as "m"', "users"), "SELECT 'm' AS series, ts, round(value, 4) AS value FROM users_ WHERE series LIKE 'user-1%'")
-add("merge_using", asked('select sum(1d) from * merge as "total" using sum(1)'), f", s AS (SELECT series, {label(DAY)} AS ts, sum(value) AS value FROM events_ GROUP BY 1, 2) SELECT 'total' AS series, ts, round(sum(value), 4) AS value FROM s GROUP BY 2")
-add("merge_promoted", asked('select max(4w) from * merge as "m" using mean(8w)', "events", "lines"), f", s AS (SELECT series, {label(28 * DAY)} AS ts, max(value) AS value FROM events_ GROUP BY 1, 2 UNION ALL SELECT series, {label(28 * DAY)}, CAST(max(value) AS DOUBLE) FROM lines_ GROUP BY 1, 2) SELECT 'm' AS series, {label(56 * DAY)} AS ts, round(avg(value), 4) AS value FROM s GROUP BY 2")
+add("merge_as", asked('select * from /user-1.*/ merge as "m"', "users"), "SELECT 'm' AS series, ts, round(value, 7) AS value FROM users_ WHERE series LIKE 'user-1%'")
+add("merge_using", asked('select sum(1d) from * merge as "total" using sum(1)'), f", s AS (SELECT series, {label(DAY)} AS ts, sum(value) AS value FROM events_ GROUP BY 1, 2) SELECT 'total' AS series, ts, round(sum(value), 7) AS value FROM s GROUP BY 2")
+add("merge_promoted", asked('select max(4w) from * merge as "m" using mean(8w)', "events", "lines"), f", s AS (SELECT series, {label(28 * DAY)} AS ts, max(value) AS value FROM events_ GROUP BY 1, 2 UNION ALL SELECT series, {label(28 * DAY)}, CAST(max(value) AS DOUBLE) FROM lines_ GROUP BY 1, 2) SELECT 'm' AS series, {label(56 * DAY)} AS ts, round(avg(value), 7) AS value FROM s GROUP BY 2")
 
 SCAN = """, n AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts, seq) AS k FROM ({rows})),
 s AS (
@@ -170,12 +170,12 @@ s AS (
   SELECT n.series, n.k, n.ts, n.value, CASE WHEN n.ts > s.label THEN {next} ELSE s.label END FROM n JOIN s ON n.series = s.series AND n.k = s.k + 1)
 """
 _at = "(({0} + {1} - 1) // {1}) * {1} + {2}"
-add("offset_bucket", asked("select mean(1d) => offset(5h) from *", "users"), SCAN.format(rows="SELECT * FROM users_", first=_at.format("ts", DAY, 5 * HOUR), next=_at.format("n.ts", DAY, 5 * HOUR)) + "SELECT series, label AS ts, round(avg(value), 4) AS value FROM s GROUP BY 1, 2", RECURSIVE)
+add("offset_bucket", asked("select mean(1d) => offset(5h) from *", "users"), SCAN.format(rows="SELECT * FROM users_", first=_at.format("ts", DAY, 5 * HOUR), next=_at.format("n.ts", DAY, 5 * HOUR)) + "SELECT series, label AS ts, round(avg(value), 7) AS value FROM s GROUP BY 1, 2", RECURSIVE)
 _limited = "SELECT u.*, (x.t1 - x.t0) // 20 + 1 AS g, (x.t0 - 1) % ((x.t1 - x.t0) // 20 + 1) AS o FROM users_ AS u JOIN (SELECT series, min(ts) AS t0, max(ts) AS t1, count(*) AS c FROM users_ GROUP BY 1) AS x ON x.series = u.series WHERE x.c > 20"
 _scan = SCAN.replace("series, k, ts, value, {first}", "series, k, ts, value, g, o, {first}").replace("n.value, CASE", "n.value, n.g, n.o, CASE")
 add(
     "limit_mean", asked("select limit(20, mean) from *", "users"),
-    _scan.format(rows=_limited, first=_at.format("ts", "g", "o"), next=_at.format("n.ts", "n.g", "n.o")) + "SELECT series, label AS ts, round(avg(value), 4) AS value FROM s GROUP BY 1, 2 UNION ALL SELECT series, ts, round(value, 4) FROM users_ WHERE series IN (SELECT series FROM users_ GROUP BY 1 HAVING count(*) <= 20)",
+    _scan.format(rows=_limited, first=_at.format("ts", "g", "o"), next=_at.format("n.ts", "n.g", "n.o")) + "SELECT series, label AS ts, round(avg(value), 7) AS value FROM s GROUP BY 1, 2 UNION ALL SELECT series, ts, round(value, 7) FROM users_ WHERE series IN (SELECT series FROM users_ GROUP BY 1 HAVING count(*) <= 20)",
     RECURSIVE,
 )
 
@@ -204,14 +204,14 @@ def output_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(engine(spark, sf_dir, "events").query("select max(1d) from *", precision="ms"))
 
 
-add("output_precision", output_precision, f"SELECT series, ({label(DAY)}) // 1000 AS ts, round(max(value), 4) AS value FROM events_ GROUP BY series, {label(DAY)}")
+add("output_precision", output_precision, f"SELECT series, ({label(DAY)}) // 1000 AS ts, round(max(value), 7) AS value FROM events_ GROUP BY series, {label(DAY)}")
 
 
 def fluent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(engine(spark, sf_dir, "events").series("/.*/").after("2024-01-10").mean("1d").frame())
 
 
-add("fluent", fluent, f"SELECT series, {label(DAY)} AS ts, round(avg(value), 4) AS value FROM events_ WHERE ts >= {JAN.format(10)} GROUP BY 1, 2")
+add("fluent", fluent, f"SELECT series, {label(DAY)} AS ts, round(avg(value), 7) AS value FROM events_ WHERE ts >= {JAN.format(10)} GROUP BY 1, 2")
 
 
 def coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,7 +251,7 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(Engine(spark, kinds={"float"}, store=store, time_precision="us").query("select sum(1d) from *"))
 
 
-add("stream_ingest", streamed, f"SELECT series, {label(DAY)} AS ts, round(sum(value), 4) AS value FROM events_ GROUP BY 1, 2")
+add("stream_ingest", streamed, f"SELECT series, {label(DAY)} AS ts, round(sum(value), 7) AS value FROM events_ GROUP BY 1, 2")
 
 QUERIES: dict[str, Make] = {name: make for name, (make, _) in FOUND.items()}
 SQL: dict[str, str] = {name: sql for name, (_, sql) in FOUND.items()}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.plans.ast import Span
-from tidewell.sources.points import COLUMNS, SCHEMA
+from tidewell.sources.points import COLUMNS, SCHEMA, empty
 
 SLICE = "shard_start"
 
@@ -21,7 +21,13 @@ class Store:
         spread = F.pmod(F.xxhash64("series"), F.lit(16))
         rows.repartition(SLICE, spread).sortWithinPartitions(SLICE, "series", "ts", "seq").write.mode("append").partitionBy(SLICE).parquet(self.path)
 
+    def exists(self) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
     def read(self, span: Span | None = None) -> DataFrame:
+        if not self.exists():
+            return empty(self.spark)
         df = self.spark.read.schema(f"{SCHEMA}, {SLICE} long").parquet(self.path)
         if span is not None and span.kind in ("after", "between"):
             df = df.where(F.col(SLICE) >= span.first - span.first % self.width)
