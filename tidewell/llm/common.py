@@ -51,3 +51,22 @@ def word_count(text: Column) -> Column:
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, nothing else changed."""
     return F.translate(text, UPPER, LOWER)
+
+
+#: Bits of a filter for ids, in BITMAPS rows of 4 KB each.
+BITMAPS, BITS = 1024, 32768
+
+
+def perhaps_in(df: DataFrame, column: str, ids: DataFrame, flag: str = "_maybe") -> DataFrame:
+    """df with a flag: false only where the column's value is not among ids (a frame of one column of the same type).
+
+    The ids' hashes set bits in BITMAPS broadcast rows, 4 MB for any number of ids; the flag keeps rows that cannot
+    meet out of a shuffle and is never the answer itself."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAPS * BITS)) + 1
+    bits = ids.select(slot(F.col(ids.columns[0])).alias("_h"))
+    bits = bits.groupBy(F.bitmap_bucket_number("_h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bits"))
+    df = df.withColumn("_slot", slot(F.col(f"`{column}`"))).withColumn("_bucket", F.bitmap_bucket_number("_slot"))
+    place = F.bitmap_bit_position("_slot").cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.when(F.col("_bits").isNull(), F.lit(False)).otherwise(F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1)
+    return df.join(F.broadcast(bits), "_bucket", "left").withColumn(flag, found).drop("_slot", "_bucket", "_bits")

@@ -78,12 +78,14 @@ def _common() -> tuple[int, str, str, dict[str, str]]:
     return size, json.dumps(hashes), json.dumps(stands), {lang: "".join(letters[w] for w in ws) for lang, ws in LANGUAGES.items()}
 
 
-def base_measures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+def base_measures(docs: DataFrame, id_column: str | None = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the two histograms, as arrays of long, of every row.
 
-    common: counts of the common words of the row's language, or of each of LANGUAGES if it is none of them."""
+    common: counts of the common words of the row's language, or of each of LANGUAGES if it is none of them. Without id_column the id
+    is the whole row, as a struct."""
     text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{lang_column}`").cast("string").alias("lang"), text.alias("t"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select((F.col(f"`{id_column}`") if id_column else whole).alias("id"), F.col(f"`{lang_column}`").cast("string").alias("lang"), text.alias("t"))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(rf"[^{SPACE}]"))
     rest = F.regexp_replace("t", f"[{CLASSES[0]}]+", "")
     rows = rows.select("id", "lang", F.length("t").cast("long").alias("n_chars"), rest.alias("rest"), lines.alias("lines"), F.transform(words(F.col("t")), lambda x: F.xxhash64(x)).alias("wh"))
@@ -165,11 +167,50 @@ def judged(measured: DataFrame) -> DataFrame:
     return rows.withColumn("kept", ~F.col("base_failed") & ~far)
 
 
-def quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+def quality(docs: DataFrame, id_column: str | None = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """A row for each row of docs: the base measures, both distances, base_failed and kept."""
     measured = written(base_measures(docs, id_column, text_column, lang_column), "measures")
-    return judged(measured).withColumnRenamed("id", id_column)
+    return judged(measured).withColumnRenamed("id", id_column or "id")
+
+
+def filtered(docs: DataFrame, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+    """The rows of docs that are kept, with their columns; each row goes along with its measures, so that nothing is joined."""
+    return quality(docs, None, text_column, lang_column).where("kept").select("id.*")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _duck() -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    forms = {lang: "[" + ", ".join("[" + ", ".join(quoted(f) for f in (w, w.capitalize(), w.upper())) + "]" for w in ws) + "]" for lang, ws in LANGUAGES.items()}
+    count = lambda c: f"length(t) - length(regexp_replace(t, {quoted(f'[{c}]+')}, '', 'g'))"
+    entropy = lambda p: f"coalesce(list_sum([-x * log2(x) FOR x IN {p} IF x > 0]), 0)"
+    far = lambda p, q: f"sqrt(greatest(0, {entropy(f'[({p}[i] + {q}[i]) / 2 FOR i IN range(1, len({p}) + 1)]')} - ({entropy(p)} + {entropy(q)}) / 2))"
+    cells = len(next(iter(LANGUAGES.values())))
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^{SPACE}]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{SPACE}]')) AS ls FROM d),
+win AS (SELECT rid, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS h FROM (SELECT rid, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM w WHERE len(ws) > {WINDOW})),
+rep AS (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS b FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, h) AS c FROM win) WHERE c > 1),
+again AS (SELECT rid, sum(least({WINDOW}, coalesce(i - b, {WINDOW}))) AS n FROM rep GROUP BY rid),
+m AS (
+  SELECT w.rid, doc_id, lang, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum([length(x) FOR x IN ws]), 0) AS BIGINT) AS word_chars, CAST({count("#*$%&|<>")} AS BIGINT) AS n_symbols,
+         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words, length(t) AS n_chars,
+         [{", ".join(count(c) for c in CLASSES)}] AS cs, CASE lang {" ".join(f"WHEN '{x}' THEN [len(list_filter(ws, lambda x: list_contains(f, x))) FOR f IN {fs}]" for x, fs in forms.items())} END AS ws
+  FROM w LEFT JOIN again ON again.rid = w.rid),
+b AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed, list_append(cs, n_chars - list_sum(cs)) AS c, list_append(ws, n_words - list_sum(ws)) AS k FROM m),
+r AS (
+  SELECT lang, [{", ".join(f"sum(c[{i + 1}])" for i in range(len(CLASSES) + 1))}] AS c, [{", ".join(f"sum(k[{i + 1}])" for i in range(cells + 1))}] AS k
+  FROM b WHERE NOT base_failed AND lang IN ({", ".join(quoted(x) for x in LANGUAGES)}) GROUP BY lang),
+q AS (SELECT lang AS rl, [x / list_sum(c) FOR x IN c] AS qc, [x / list_sum(k) FOR x IN k] AS qk FROM r),
+p AS (SELECT b.*, qc, qk, [x / list_sum(c) FOR x IN c] AS pc, [x / list_sum(k) FOR x IN k] AS pk FROM b LEFT JOIN q ON rl = lang),
+e AS (SELECT *, CASE WHEN n_words >= {CLASS_WORDS} THEN {far("pc", "qc")} END AS dc, CASE WHEN n_words >= {WORD_WORDS} THEN {far("pk", "qk")} END AS dk FROM p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(dc > {MOST_CLASS_DISTANCE}, FALSE) AND NOT coalesce(dk > {MOST_WORD_DISTANCE}, FALSE) AS kept
+FROM e"""
+
+
+#: For tables whose languages are all among LANGUAGES.
+SQL = _duck()
