@@ -10,24 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import minhash, mixing, pieces, quality
-from tidewell.llm.common import table, written
-
-
-def _of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id (null included) is among ids."""
-    return docs.join(ids.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+from tidewell.llm.common import perhaps_in, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that the base rules or the divergence from their language reject."""
-    judged = quality.quality(docs)
-    return _of_ids(docs, written(judged.where("kept").select("doc_id"), "kept"))
+    return quality.filtered(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; three words and 0.85, as in the query of the operator."""
+    """One document of each group of near-duplicates; three words and 0.85, as in the query of the operator.
+
+    Rows with one id are one document, of which one row stays. Texts that a filter of the ids in question lets through at once are not
+    moved; the rest are joined with those ids."""
     found = minhash.near_duplicates(docs, width=3, percent=85)
-    return _of_ids(docs, written(found.where("kept").select("doc_id"), "kept"))
+    ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("many"), F.bool_and("kept").alias("kept"))
+    ids = written(ids.where("NOT kept OR many > 1"), "in-question")
+    flagged = perhaps_in(docs, "doc_id", ids.select(F.col("_id").cast(docs.schema["doc_id"].dataType)), "_maybe")
+    sure = flagged.where("NOT _maybe").select(docs.columns)
+    rest = flagged.where("_maybe").join(ids.where("NOT kept"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(docs.columns)
+    return sure.unionByName(rest.where("doc_id IS NULL")).unionByName(rest.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
