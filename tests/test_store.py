@@ -1,7 +1,10 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tidewell.engine import Engine
+from tidewell.errors import InsertError, QueryError
 from tidewell.plans.parser import parse
+from tidewell.sources.readers import csv_points, json_points
 from tidewell.sources.store import Store
 from tidewell.streaming.ingest import bucket_stream, into_store
 
@@ -37,3 +40,17 @@ def test_tee_and_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted((r["label"], r["n"], r["total"]) for r in spark.sql("SELECT * FROM buckets").collect()) == [(10, 10, 55.0), (20, 10, 155.0), (30, 10, 255.0)]
+
+
+def test_frames_and_files(spark, tmp_path):
+    own = Engine(spark, time_precision="s")
+    (tmp_path / "a.csv").write_text("series,ts,value\na,1,1.5\na,2,2.5\n")
+    (tmp_path / "b.json").write_text('{"name": "b", "points": [[3, 4], [3, 5]]}\n{"name": "a", "points": [[3, 7]]}\n')
+    own.insert_frame(csv_points(spark, f"file://{tmp_path}/a.csv"))
+    own.insert_frame(json_points(spark, f"file://{tmp_path}/b.json", "long"))
+    assert own.run("select * from *") == {"a": [[1, 1.5], [2, 2.5], [3, 7.0]], "b": [[3, 4], [3, 5]]}
+    with pytest.raises(InsertError):
+        own.insert_frame(spark.sql("SELECT 'a' AS series, 1.5D AS ts, 1 AS value"))
+    own.insert_frame(spark.sql("SELECT 'a' AS series, -1 AS ts, 1 AS value"))
+    with pytest.raises(QueryError, match="out-of-range"):
+        own.run("select count() from *")

@@ -25,6 +25,7 @@ from tidewell.plans.fold import PRECISIONS, Clock, zone
 from tidewell.plans.parser import COLUMNS, SHOWN, parse
 from tidewell.sources.ingest import coerced, staged, types_of
 from tidewell.sources.points import KINDS, VALUE, empty
+from tidewell.sources.readers import staged_frame
 from tidewell.sources.store import Store
 
 DEFAULT_COLUMNS = {"series": ("name",), "shards": ("sid", "pool", "server", "start", "end"), "groups": ("name",), "tags": ("name",), "pools": ("pool", "servers", "series"), "users": ("name", "access"), "servers": ("name", "pool", "version", "online", "status")}
@@ -62,19 +63,30 @@ class Engine:
     def insert(self, data: Any) -> dict:
         """Checks, coerces and keeps points; data is a map name -> points or an array of name and points."""
         self._may("insert")
-        most = (1 << 32) - 1 if self.options.time_precision == "s" else (1 << 63) - 1
-        stage, n = staged(self.spark, data, most, self.next_seq)
-        known = None if self._empty() or self.next_seq == 0 and self.store is None and self._points is None else types_of(self.points())
-        fresh = self._unexpired(coerced(stage, known))
+        stage, n = staged(self.spark, data, self._most_ts, self.next_seq)
         self.next_seq += n
         self.received += n
+        self._add(stage)
+        return {"success_msg": f"Successfully inserted {n} point(s)."}
+
+    def insert_frame(self, df: DataFrame) -> None:
+        """Points of a frame with series, ts, value and perhaps seq, checked and coerced where they are."""
+        self._may("insert")
+        self._add(staged_frame(df, self._most_ts, self.next_seq))
+        self.next_seq += 1
+
+    @property
+    def _most_ts(self) -> int:
+        return (1 << 32) - 1 if self.options.time_precision == "s" else (1 << 63) - 1
+
+    def _add(self, stage: DataFrame) -> None:
+        fresh = self._unexpired(coerced(stage, None if self._empty() else types_of(self.points())))
         for tee in self.tees:
             tee(fresh)
         if self.store is not None:
             self.store.append(fresh)
         else:
             self._points = fresh if self._points is None else self._points.unionByName(fresh)
-        return {"success_msg": f"Successfully inserted {n} point(s)."}
 
     def _unexpired(self, points: DataFrame) -> DataFrame:
         """Without the slices that have ended before their expiration."""

@@ -224,6 +224,20 @@ def coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("insert_coercion", coercion, "SELECT * FROM (VALUES ('i', 1, 7), ('i', 2, 35), ('i', 3, -50), ('i', 4, 0), ('i', 5, 9223372036854775807)) AS t(series, ts, value)")
 
 
+def framed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole table inserted as a frame, its floats into series that are integer already."""
+    own = Engine(spark, time_precision="us")
+    own.insert({name: [[0, 0]] for name in ("view", "click")})
+    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    own.insert_frame(df.select(F.col("event_type").alias("series"), micros(F.col("ts")).alias("ts"), "value", F.col("event_id").alias("seq")))
+    found = own.query("select sum(1d) from * after 1")
+    return rounded(found.select("series", "ts", "type", F.coalesce(F.col("value_integer").cast("double"), "value_float").alias("value")))
+
+
+_kept = "CASE WHEN series IN ('view', 'click') THEN {} ELSE {} END"
+add("insert_frame", framed, f"SELECT series, {label(DAY)} AS ts, {_kept.format(repr('integer'), repr('float'))} AS type, round(sum({_kept.format('trunc(value)', 'value')}), 7) AS value FROM events_ GROUP BY 1, 2")
+
+
 def _folder(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewell-")
     return f"{found.rstrip('/')}/points-{uuid.uuid4().hex}"
