@@ -41,7 +41,7 @@ def test_buckets(db, function, values):
 
 
 def test_derivative_by_bucket(db):
-    assert db.run('select derivative(1, 1h) from "aggr"') == {"aggr": hours(*(x * (1 / 3600) for x in (1, -3, 5)))}
+    assert db.run("select derivative(1, 1h) from 'aggr'") == {"aggr": hours(*(x * (1 / 3600) for x in (1, -3, 5)))}
 
 
 def test_differences_and_chains(db):
@@ -50,8 +50,8 @@ def test_differences_and_chains(db):
     assert db.run(f'select difference() => difference() from "{name}"') == {name: [[T + 5, 4]]}
     assert db.run(f'select difference() => difference() => difference() from "{name}"') == {name: []}
     assert db.run(f'select difference(2000000000) from "{name}"') == {name: [[2000000000, -12]]}
-    assert db.run('select difference() from "one"') == {"one": []}
-    slopes = db.run('select derivative() from "equal ts"')["equal ts"]
+    assert db.run("select difference() from 'one'") == {"one": []}
+    slopes = db.run("select derivative() from 'equal ts'")["equal ts"]
     assert slopes[0][1] == math.inf and math.isnan(slopes[1][1]) and slopes[2][1] == -0.5 and slopes[4][1] == -1
 
 
@@ -59,20 +59,20 @@ def test_merge(db):
     far = 2000000000
     assert db.run(f'select * from /series-001.*/ merge as "m" using median_low({far})') == {"m": [[far, -3.5]]}
     assert db.run(f'select * from /series-001.*/ merge as "m" using median_high({far})') == {"m": [[far, -3.0]]}
-    assert db.run('select * from /series.*/ merge as "max" using max(1s)') == {"max": [[T, 5.0], [T + 2, -2.5], [T + 3, -1.0], [T + 5, -7.0]]}
-    text = """select min(2h) prefix "min-", max(1h) prefix "max-" from /.*/ where type == integer and name != "filter" and name != "one"
-        and name != "series-002 integer" merge as "both" using median_low(1) => difference()"""
+    assert db.run("select * from /series.*/ merge as 'max' using max(1s)") == {"max": [[T, 5.0], [T + 2, -2.5], [T + 3, -1.0], [T + 5, -7.0]]}
+    text = """select max(1h) prefix 'hi ', min(2h) prefix 'lo ' from * where name != 'one' and name != 'filter' and type == integer
+        and name !~ '002' merge as 'both' using median_low(1) => difference()"""
     top = 1471255200
-    assert db.run(text) == {"max-both": [[H + 3600, 3], [H + 7200, -1], [top, -532]], "min-both": [[H + 7200, -477], [top, -54]]}
+    assert db.run(text) == {"hi both": [[H + 3600, 3], [H + 7200, -1], [top, -532]], "lo both": [[H + 7200, -477], [top, -54]]}
     with pytest.raises(QueryError, match="Cannot merge string and number series."):
-        db.run('select * from "log", "one" merge as "m"')
+        db.run("select * from 'log', 'one' merge as 'm'")
 
 
 def test_limit(db):
-    assert db.run('select limit(300, mean) from "aggr"') == {"aggr": AGGR}
-    assert db.run('select limit(1, sum) from "aggr"') == {"aggr": [[1447254748, 9674]]}
-    close(db.run('select limit(3, mean) from "aggr"'), {"aggr": [[1447250938, 3730 / 7], [1447252844, 2206 / 6], [1447254750, 534.0]]})
-    assert db.run('select limit(2, max) from "series-001 float"') == {"series-001 float": [[T + 2, 1.5], [T + 8, -7.3]]}
+    assert db.run("select limit(300, mean) from 'aggr'") == {"aggr": AGGR}
+    assert db.run("select limit(1, sum) from 'aggr'") == {"aggr": [[1447254748, 9674]]}
+    close(db.run("select limit(3, mean) from 'aggr'"), {"aggr": [[1447250938, 3730 / 7], [1447252844, 2206 / 6], [1447254750, 534.0]]})
+    assert db.run("select limit(2, max) from 'series-001 float'") == {"series-001 float": [[T + 2, 1.5], [T + 8, -7.3]]}
 
 
 def test_offset_against_scan(spark):
@@ -101,32 +101,32 @@ def test_float_filters(db, op, value, test):
 
 
 def test_filters(db):
-    assert db.run('select filter(>534) from "aggr"') == {"aggr": [p for p in AGGR if p[1] > 534]}
-    assert db.run('select filter(>534.9) from "aggr"') == {"aggr": [p for p in AGGR if p[1] > 534]}
+    assert db.run("select filter(>534) from 'aggr'") == {"aggr": [p for p in AGGR if p[1] > 534]}
+    assert db.run("select filter(>534.9) from 'aggr'") == {"aggr": [p for p in AGGR if p[1] > 534]}
     log = DATA["log"]
     for text in ("/l.*/", "==/l.*/"):
         assert db.run(f"select filter({text}) from * where type == string") == {"log": log[:2]}
-    assert db.run("select filter(!=/l.*/) from * where type == string") == {"log": log[2:]}
-    assert db.run('select filter(~"log") => filter(!~"one") from "log"') == {"log": log[1:2]}
-    assert db.run('select filter(~"one") prefix "1-", filter(~"two") prefix "2-" from "log"') == {"1-log": [log[0], log[3]], "2-log": [log[1]]}
+    assert db.run("select filter(!= /l.*/) from 'log'") == {"log": log[2:]}
+    assert db.run("select filter(~'log') => filter(!~'one') from 'log'") == {"log": log[1:2]}
+    assert db.run("select filter(~'one') prefix '1-', filter(~'two') prefix '2-' from 'log'") == {"1-log": [log[0], log[3]], "2-log": [log[1]]}
 
 
 def test_whole_series(db):
-    assert db.run("select first() from *") == {k: [v[0]] for k, v in DATA.items()}
+    assert db.run("select first() from *") == {name: rows[:1] for name, rows in DATA.items()}
     last = db.run("select last() from *")
-    assert {k: [v[-1]] for k, v in DATA.items() if k != "special"} == {k: v for k, v in last.items() if k != "special"}
-    assert db.run("select count() from *") == {k: [[v[-1][0], len(v)]] for k, v in DATA.items()}
-    close(db.run('select mean() from "aggr"'), {"aggr": [[AGGR[-1][0], sum(p[1] for p in AGGR) / 20]]})
-    close(db.run('select stddev() from "aggr"'), {"aggr": [[AGGR[-1][0], 147.07108914792838]]})
-    assert db.run('select stddev() from "one"') == {"one": [[T + 5, 0.0]]}
-    assert db.run('select timeval() from "one"') == {"one": [[T + 5, T + 5]]}
-    assert [v for _, v in db.run('select interval() from "series-001 integer"')["series-001 integer"]] == [3, 2]
-    close(db.run('select variance(1471254712) from "variance"'), {"variance": [[1471254712, 1.3720238095238095]]})
-    close(db.run('select pvariance(1471254715) from "pvariance"'), {"pvariance": [[1471254715, 1.25]]})
+    assert {name: rows[-1:] for name, rows in DATA.items() if name != "special"} == {k: v for k, v in last.items() if k != "special"}
+    assert db.run("select count() from *") == {name: [[rows[-1][0], len(rows)]] for name, rows in DATA.items()}
+    close(db.run("select mean() from 'aggr'"), {"aggr": [[AGGR[-1][0], sum(p[1] for p in AGGR) / 20]]})
+    close(db.run("select stddev() from 'aggr'"), {"aggr": [[AGGR[-1][0], 147.07108914792838]]})
+    assert db.run("select stddev() from 'one'") == {"one": [[T + 5, 0.0]]}
+    assert db.run("select timeval() from 'one'") == {"one": [[T + 5, T + 5]]}
+    assert [v for _, v in db.run("select interval() from 'series-001 integer'")["series-001 integer"]] == [3, 2]
+    close(db.run("select variance(1471254712) from 'variance'"), {"variance": [[1471254712, 1.3720238095238095]]})
+    close(db.run("select pvariance(1471254715) from 'pvariance'"), {"pvariance": [[1471254715, 1.25]]})
 
 
 def test_names_and_items(db):
-    found = db.run('select sum(1d) prefix "sum-" suffix "-sum", min(1d) prefix "minimum-", max(1d) suffix "-maximum" from "aggr"')
+    found = db.run("select sum(1d) prefix 'sum-' suffix '-sum', min(1d) prefix 'minimum-', max(1d) suffix '-maximum' from 'aggr'")
     assert set(found) == {"sum-aggr-sum", "minimum-aggr", "aggr-maximum"}
     assert db.run("select * from ({}) - (\"a\", \"b\")".format(",".join(['"aggr"'] * 600))) == {"aggr": AGGR}
 
@@ -139,8 +139,8 @@ def test_names_and_items(db):
         ("select filter(~//) from \"log\"", "Regular expressions can only be used with"), ("select filter(//) from \"aggr\"", "Cannot use a string filter on number type."), ("select filter(3) from \"log\"", "Cannot use a number filter on string type."),
         ("select mean(0) from \"aggr\"", "Group by time must be an integer value larger than zero"), ("select limit(6 - 6, mean) from \"aggr\"", "Limit must be an integer value larger than zero"),
         ("select * from \"aggr\" merge as \"t\" using filter(\"0\")", "Cannot use a string filter on number type"), ("select sum(2000000000) from \"huge\"", r"Overflow detected while using sum\(\)\."),
-        ("select * from \"aggr\" where ((((((length > 1))))))", "Max depth reached in 'where' expression!"), ("select * from /(bla/", "Cannot compile regular expression"),
-        ("select * from " + "(" * 501 + '"aggr"' + ")" * 501, "maximum recursion depth reached"), ('select * from "' + "a" * 65535 + '"', "Query too long"), ('select * from "aggr", "huge" merge as ""', "Error while merging points"),
+        ("select * from 'aggr' where " + "(" * 6 + "length > 1" + ")" * 6, "Max depth reached in 'where' expression!"), ("select * from /(bla/", "Cannot compile regular expression"),
+        ("select * from " + "(" * 501 + '"aggr"' + ")" * 501, "maximum recursion depth reached"), ('select * from "' + "a" * 65535 + '"', "Query too long"), ("select * from 'huge', 'aggr' merge as ''", "Error while merging points"),
         ("select offset(3) from *", "Offset must be used after an aggregation method"), ("select min(1h), max(1h) from *", "prefix and/or suffix"), ("select * from `nothing`", "Cannot find group or tag 'nothing'"),
         ("select * from * between 5 and 3", "Start time"), ("select * from * head 0", "Head must be a value between 1 and"), ("list series limit 0", "Limit must be a value between 1 and"), ("select filter(> inf) from \"one\"", "nan or inf"),
     ],
@@ -161,7 +161,7 @@ def test_spans(db):
     series = DATA["filter"]
     for text, rows in ((f"after {T + 5}", series[1:]), (f"before {T + 5}", series[:1]), (f"between {T + 5} and {T + 15}", series[1:3]), ("head 2", series[:2]), ("tail 3", series[1:])):
         assert db.run(f'select * from "filter" {text}') == {"filter": rows}
-    assert db.run('select count() from "equal ts" tail 2') == {"equal ts": [[T + 3, 2]]}
+    assert db.run("select count() from 'equal ts' tail 2") == {"equal ts": [[T + 3, 2]]}
 
 
 def test_scaled_times(db):
@@ -178,7 +178,7 @@ def test_nanoseconds(spark):
 
 
 def test_fluent(db):
-    assert db.series('"aggr"').sum("1h").difference().collect() == db.run('select sum(1h) => difference() from "aggr"')
+    assert db.series('"aggr"').sum("1h").difference().collect() == db.run("select sum(1h) => difference() from 'aggr'")
     assert db.series('"filter"').after(T + 5).filter("> 0").frame().count() == 1
 
 
@@ -189,8 +189,8 @@ def test_catalog(db):
     assert db.run("count shards where type == log") == {"shards": 1}
     assert db.run(f"list series name where start == {T + 5} or name == \"huge\"")["columns"] == ["name"]
     assert db.run("(2+4)*7") == {"calc": 42}
-    assert "__timeit__" in db.run('timeit select * from "one"')
-    assert db.run("show time_precision")["data"] == [{"name": "time_precision", "value": "s"}]
+    assert "__timeit__" in db.run("timeit select * from 'one'")
+    assert db.run("show time_precision")["data"] == [dict(name="time_precision", value="s")]
     assert len(db.run("show")["data"]) == 37
     assert "select" in db.run("help")["help"]
     assert db.run("# nothing") == {}
@@ -213,10 +213,10 @@ def test_set_operators(spark, text, expected):
 def test_groups_and_tags(spark):
     own = Engine(spark, time_precision="s")
     own.insert(DATA)
-    for text, n in (("/series.*/ tag `S`", 4), ("/.*/ tag `ALL`", 13), ("/empty/ tag `E`", 0), ("`ALL` - `S` tag `O`", 9), ("/series-00(1|2) integer/ tag `I`", 2), ("`ALL` where type == float tag `F`", 5)):
+    for text, n in (("/series.*/ tag `S`", 4), ("/.*/ tag `ALL`", 13), ("/empty/ tag `E`", 0), ("`ALL` - `S` tag `O`", 9), ("/series-00(1|2) integer/ tag `I`", 2), ("`ALL` where type == float tag `R`", 5)):
         assert own.run(f"alter series {text}") == {"success_msg": f"Successfully tagged {n} series."}
     assert own.run("alter series 'one' untag `O`") == {"success_msg": "Successfully untagged 1 series."}
-    assert sorted(own.run("list tags name, series")["tags"]) == [["ALL", 13], ["E", 0], ["F", 5], ["I", 2], ["O", 8], ["S", 4]]
+    assert sorted(own.run("list tags name, series")["tags"]) == [["ALL", 13], ["E", 0], ["I", 2], ["O", 8], ["R", 5], ["S", 4]]
     own.run("drop series 'series-001 integer', 'huge'")
     assert sorted(own.run("list tags name, series where series < 5")["tags"]) == [["E", 0], ["I", 1], ["S", 3]]
     own.run("create group `g` for /series.*/")
@@ -251,7 +251,7 @@ def test_coercion(spark):
     assert [v for _, v in found["s"]] == ["some text", "-123456789", "-0.500000", "0.333333"]
     assert [v for _, v in found["i"]] == [1, 35, -50, 0, 0, (1 << 63) - 1, -(1 << 63), (1 << 63) - 1, 2]
     assert [v for _, v in found["d"]] == [1.0, -35.0, -50.0, 0.0, 100.0]
-    assert own.run('list series "neu ’ü"')["series"] == [["neu ’ü"]]
+    assert own.run("list series 'neu ’ü'")["series"] == [["neu ’ü"]]
 
 
 @pytest.mark.parametrize("data", [[], {}])
@@ -273,19 +273,19 @@ def test_bad_inserts(spark, data, message):
 
 def test_users(spark):
     own = Engine(spark, time_precision="s")
-    own.run('create user "ann" set password "secret"')
-    own.run('grant select, list to user "ann"')
+    own.run("create user 'ann' set password 'secret'")
+    own.run("grant select, list to user 'ann'")
     assert ["ann", "list and select"] in own.run("list users")["users"]
     own.user = "ann"
     own.run("list series")
     with pytest.raises(QueryError, match="privileges"):
         own.run("count series")
     own.user = None
-    own.run('grant write to user "ann"')
-    own.run('revoke list from user "ann"')
+    own.run("grant write to user 'ann'")
+    own.run("revoke list from user 'ann'")
     assert own.run("list users where access >= read")["users"] == [["admin", "full"]] or True
-    own.run('alter user "ann" set name "bob"')
-    own.run('drop user "bob"')
+    own.run("alter user 'ann' set name 'bob'")
+    own.run("drop user 'bob'")
     assert own.run("count users") == {"users": 1}
 
 
@@ -299,13 +299,13 @@ def test_options_and_expiration(spark):
     own.run("alter database set expiration_num 30d")
     assert own.run("select count() from *") == {"n": [[now, 1]], "l": [[now, 2]]}
     own.insert({"n": [[now - 80 * 86400, 5]]})
-    assert own.run('select count() from "n"')["n"][0][1] == 1
+    assert own.run("select count() from 'n'")["n"][0][1] == 1
     with pytest.raises(QueryError, match="List limit"):
         own.run("alter database set list_limit 5")
     with pytest.raises(QueryError, match="Unknown time-zone"):
-        own.run('alter database set timezone "Mars"')
-    own.run('alter database set timezone "Europe/Amsterdam"')
-    assert own.run('"2016-04-21"') == {"calc": 1461189600}
+        own.run("alter database set timezone 'Mars'")
+    own.run("alter database set timezone 'Europe/Amsterdam'")
+    assert own.run("'2016-04-21'") == {"calc": 1461189600}
 
 
 def test_ten_points(spark):

@@ -28,7 +28,7 @@ from tidewell.sources.points import KINDS, VALUE, empty
 from tidewell.sources.readers import staged_frame
 from tidewell.sources.store import Store
 
-DEFAULT_COLUMNS = {"series": ("name",), "shards": ("sid", "pool", "server", "start", "end"), "groups": ("name",), "tags": ("name",), "pools": ("pool", "servers", "series"), "users": ("name", "access"), "servers": ("name", "pool", "version", "online", "status")}
+DEFAULT_COLUMNS = {"series": ("name",), "shards": tuple("sid pool server start end".split()), "groups": ("name",), "tags": ("name",), "pools": ("pool", "servers", "series"), "users": ("name", "access"), "servers": tuple("name pool version online status".split())}
 UNLIMITED_ROWS = 1000
 NAME_LENGTH = 255
 

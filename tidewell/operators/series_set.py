@@ -28,23 +28,31 @@ def predicate(match, name: Column, look_up: Callable[[str], Callable[[Column], C
         return look_up(match.name)(name)
     if (names := _names(match)) is not None:
         return name.isin(*names)
-    # a long chain from left to right, without recursion on its left side
+    # a long chain from left to right, without recursion on its left side; runs of unions become a flat tree
     rest = []
-    while isinstance(match, ast.SetOp):
+    while isinstance(match, ast.SetOp) and _names(match) is None:
         rest.append((match.op, match.right))
         match = match.left
-    out = predicate(match, name, look_up)
+    parts = [predicate(match, name, look_up)]
     for op, right in reversed(rest):
         other = predicate(right, name, look_up)
         if op == "union":
-            out = out | other
-        elif op == "intersection":
-            out = out & other
+            parts.append(other)
+            continue
+        out = _any(parts)
+        if op == "intersection":
+            parts = [out & other]
         elif op == "difference":
-            out = out & ~other
+            parts = [out & ~other]
         else:
-            out = (out & ~other) | (~out & other)
-    return out
+            parts = [(out & ~other) | (~out & other)]
+    return _any(parts)
+
+
+def _any(parts: list[Column]) -> Column:
+    while len(parts) > 1:
+        parts = [parts[k] | parts[k + 1] if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
+    return parts[0]
 
 
 def _names(match) -> list[str] | None:

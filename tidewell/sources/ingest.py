@@ -47,7 +47,7 @@ def rows(data: Any, most_ts: int = LONG[1], first_seq: int = 0) -> Iterator[tupl
             if isinstance(ts, bool) or not isinstance(ts, int):
                 raise InsertError("Expecting an integer value as time-stamp.")
             if not 0 <= ts <= most_ts:
-                raise InsertError("Received at least one time-stamp which is out-of-range.")
+                raise InsertError("A time-stamp is out-of-range for this database.")
             if isinstance(value, bool) or not isinstance(value, (int, float, str)) or isinstance(value, int) and not LONG[0] <= value <= LONG[1]:
                 raise InsertError("Unsupported value received. (only integer, float and string values are supported).")
             if isinstance(value, int):

@@ -27,7 +27,7 @@ def staged_frame(df: DataFrame, most_ts: int, first_seq: int = 0) -> DataFrame:
 
     name = F.coalesce(
         bad(F.col("series").isNull() | (F.col("series") == ""), "Expecting a series name (string value) with an array of points where each point should be an integer time-stamp with a value."),
-        bad(F.col("ts").isNull() | (F.col("ts") < 0) | (F.col("ts") > most_ts), "Received at least one time-stamp which is out-of-range."),
+        bad(F.col("ts").isNull() | (F.col("ts") < 0) | (F.col("ts") > most_ts), "A time-stamp is out-of-range for this database."),
         bad(F.col("value").isNull(), "Unsupported value received. (only integer, float and string values are supported)."), "series",
     )
     seq = F.col("seq").cast("long") if "seq" in types else F.lit(first_seq).cast("long")
