@@ -27,14 +27,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import table, written
+from tidewell.llm.common import perhaps_in, table, written
 from tidewell.llm.components import components
 
 PERMUTATIONS, BANDS, BAND = 96, 32, 6
 #: For contracts that state none: five words and 0.8.
 SHINGLE, PERCENT = 5, 80
 ROWS = 256
-CACHED = 400_000
+CACHED = 200_000
 #: Documents and shingles in a cell of a block, at most, about.
 CELL, CELL_SHINGLES = 512, 1_000_000
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
@@ -238,6 +238,7 @@ def links(docs: DataFrame, members: DataFrame, id_column: str, text_column: str,
 
     texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").alias("text"))
     key = ["g", "lo", "lo_cell", "hi", "hi_cell"]
+    texts = perhaps_in(texts, "id", members.select("id")).where("_maybe").drop("_maybe")
     rows = texts.join(blocks(members, percent), "id").repartition(*key).sortWithinPartitions(*key, "id")
     return rows.mapInArrow(confirm, "a long, b long")
 
@@ -250,6 +251,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     shared = placed.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("bucket", "first")
     coarse = components(placed.join(shared, "bucket").select(F.col("id").alias("a"), F.col("first").alias("b")), "coarse")
     members = classes.where("id IS NOT NULL").groupBy("id").agg(F.max("n").alias("n")).join(coarse.select(F.col("node").alias("id"), F.col("component").alias("g")), "id")
+    members = written(members, "members")
     found = components(written(links(docs, members, id_column, text_column, width, percent), "links"), "duplicates")
     ends = classes.join(found, classes["id"] == found["node"], "left").select("key", F.coalesce("component", "id").alias("component_id"))
     rows = seen.select("id", "n", "key").join(ends, "key", "left")
