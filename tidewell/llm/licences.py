@@ -29,8 +29,8 @@ from tidewell.llm.common import SPACE, table
 TEMPLATES = {
     "MIT": [
         "Released under the MIT License.", "This project is licensed under the MIT License.", "Licensed under the MIT license.", "SPDX-License-Identifier: MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "Permission is hereby granted, free of charge, to any " "person obtaining a copy of this software and " "associated documentation files, to deal in the Software without " "restriction, including without limitation the rights to " "use, copy, modify, merge, " "publish, distribute, sublicense, " "and/or sell copies of the Software",
+        "The above copyright notice and this permission " "notice shall be included in all copies " "or substantial portions of the Software.",
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.", "This project is released under the Apache License 2.0.", "SPDX-License-Identifier: Apache-2.0",

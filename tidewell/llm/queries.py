@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_quality": quality.SQL,
     "op3_url_filter": url_filter.SQL,
     "op5_warc": warc.SQL,
     "op6_near_duplicates": minhash.SQL,

@@ -81,20 +81,25 @@ _ALL = " UNION ALL ".join(f"SELECT * FROM {{order_{k}}}" for k in range(ORDER +
 _WEIGHTS = "SELECT 'g' || g AS f, w FROM {model} UNION ALL SELECT DISTINCT 'c' || x AS f, back AS w FROM {model} WHERE k > 0"
 
 
+#: The texts that a verdict or the limit needs.
+_TEXTS = f"SELECT DISTINCT s FROM {{judged}} WHERE said IS NULL OR fold < '{HELD_OUT}'"
+
+
 def _scores(duck: bool = False) -> str:
-    """s and score: the difference by length, in millionths, of every text that a verdict or the limit needs."""
+    """s and score: the difference by length, in millionths, of every text."""
     parts = [f"CASE WHEN i > {k} THEN 'g' || substr(s, CAST(i - {k} AS INT), {k + 1}) END" for k in range(ORDER + 1)] + [f"CASE WHEN i > {k} THEN 'c' || substr(s, CAST(i - {k} AS INT), {k}) END" for k in range(1, ORDER + 1)]
     explode = f"unnest([{', '.join(parts)}])" if duck else f"explode(array({', '.join(parts)}))"
     return f"""
 SELECT t.s, CAST(floor(coalesce(sum(f.w), 0) / (length(t.s) - 1)) AS BIGINT) AS score
-FROM (SELECT s, {explode} AS f FROM (SELECT s, {_each("i", "2", "length(s)", duck)} FROM (SELECT DISTINCT s FROM {{judged}} WHERE said IS NULL OR fold < '{HELD_OUT}') AS d) AS p) AS t
+FROM (SELECT s, {explode} AS f FROM (SELECT s, {_each("i", "2", "length(s)", duck)} FROM {{texts}} AS d) AS p) AS t
 LEFT JOIN {{weights}} AS f ON f.f = t.f GROUP BY t.s"""
 
 
 def _limit() -> str:
+    """lim: the middle of the gap below the scores from which on allowing makes the least balanced error."""
     h = f"SELECT greatest(-{EDGE}, least({EDGE}, floor(s.score / {STEP}.0))) AS b, sum(CASE WHEN j.said = 'allow' THEN 1 ELSE 0 END) AS a, sum(CASE WHEN j.said = 'block' THEN 1 ELSE 0 END) AS r FROM {{judged}} AS j JOIN {{scores}} AS s ON s.s = j.s WHERE j.said IS NOT NULL AND j.fold < '{HELD_OUT}' GROUP BY 1"
-    e = f"SELECT b, nr * (sum(a) OVER (ORDER BY b) - a) + na * (sum(r) OVER (ORDER BY b DESC)) AS miss FROM (SELECT b, a, r, sum(a) OVER () AS na, sum(r) OVER () AS nr FROM ({h}) AS h) AS t WHERE na > 0 AND nr > 0"
-    return f"SELECT CAST(coalesce(max({STEP} * b), 0) AS BIGINT) AS lim FROM (SELECT b, row_number() OVER (ORDER BY miss, abs(b), b) AS n FROM ({e}) AS e) AS m WHERE n = 1"
+    e = f"SELECT b, lag(b) OVER (ORDER BY b) AS below, nr * (sum(a) OVER (ORDER BY b) - a) + na * (sum(r) OVER (ORDER BY b DESC)) AS miss FROM (SELECT b, a, r, sum(a) OVER () AS na, sum(r) OVER () AS nr FROM ({h}) AS h) AS t WHERE na > 0 AND nr > 0"
+    return f"SELECT CAST(coalesce(max({STEP} * floor((b + 1 + coalesce(below, b - 1)) / 2.0)), 0) AS BIGINT) AS lim FROM (SELECT b, below, row_number() OVER (ORDER BY miss, abs(b), b) AS n FROM ({e}) AS e) AS m WHERE n = 1"
 
 
 _VERDICT = "SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.said, CASE WHEN s.score >= l.lim THEN 'allow' ELSE 'block' END) AS verdict FROM {judged} AS j LEFT JOIN {scores} AS s ON s.s = j.s CROSS JOIN {limit} AS l"
@@ -118,6 +123,7 @@ def url_verdicts(pages: DataFrame, id_column: str = "page_id", url_column: str =
         run(_order(k), f"order_{k}")
     have["model"] = spark.sql(_ALL, **{f"order_{k}": have[f"order_{k}"] for k in range(ORDER + 1)})
     have["weights"] = F.broadcast(run(_WEIGHTS, "weights"))  # at most 2 * MOST_STRINGS short rows
+    have["texts"] = spark.sql(_TEXTS, judged=have["judged"])
     run(_scores(), "scores")
     run(_limit(), "limit")
     have["limit"] = F.broadcast(have["limit"])  # one row
@@ -129,7 +135,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _duck() -> str:
-    steps = [("judged", _judged()), ("counts", _counts(True)), ("least", _LEAST), ("contexts", _CONTEXTS), ("order_0", _ORDER_0), *[(f"order_{k}", _order(k)) for k in range(1, ORDER + 1)], ("model", _ALL), ("weights", _WEIGHTS), ("scores", _scores(True)), ("limits", _limit())]
+    steps = [("judged", _judged()), ("counts", _counts(True)), ("least", _LEAST), ("contexts", _CONTEXTS), ("order_0", _ORDER_0), *[(f"order_{k}", _order(k)) for k in range(1, ORDER + 1)], ("model", _ALL), ("weights", _WEIGHTS), ("texts", _TEXTS), ("scores", _scores(True)), ("limits", _limit())]
     names = {n: n for n, _ in steps} | {"pages": "pages", "limit": "limits"}
     return "WITH " + ", ".join(f"{n} AS MATERIALIZED ({sql.format(**names)})" for n, sql in steps) + _VERDICT.format(**names)
 
