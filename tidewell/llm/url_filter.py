@@ -123,7 +123,8 @@ def url_verdicts(pages: DataFrame, id_column: str = "page_id", url_column: str =
         run(_order(k), f"order_{k}")
     have["model"] = spark.sql(_ALL, **{f"order_{k}": have[f"order_{k}"] for k in range(ORDER + 1)})
     have["weights"] = F.broadcast(run(_WEIGHTS, "weights"))  # at most 2 * MOST_STRINGS short rows
-    have["texts"] = spark.sql(_TEXTS, judged=have["judged"])
+    # a text becomes some hundred rows, so the texts are spread first
+    have["texts"] = spark.sql(_TEXTS, judged=have["judged"]).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     run(_scores(), "scores")
     run(_limit(), "limit")
     have["limit"] = F.broadcast(have["limit"])  # one row
