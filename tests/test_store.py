@@ -54,3 +54,28 @@ def test_frames_and_files(spark, tmp_path):
     own.insert_frame(spark.sql("SELECT 'a' AS series, -1 AS ts, 1 AS value"))
     with pytest.raises(QueryError, match="out-of-range"):
         own.run("select count() from *")
+
+
+def test_tcp_tee(spark):
+    import json
+    import socketserver
+    import threading
+
+    lines = []
+
+    class Keep(socketserver.StreamRequestHandler):
+        def handle(self):
+            lines.extend(self.rfile.read().splitlines())
+
+    with socketserver.ThreadingTCPServer(("127.0.0.1", 0), Keep) as server:
+        server.daemon_threads, server.block_on_close = False, True
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        own = Engine(spark, time_precision="s")
+        assert "configured tee" in own.run(f"alter database set tee '127.0.0.1:{server.server_address[1]}'")["success_msg"]
+        own.insert({"a": [[1, 2], [3, "4"]], "b": [[5, "x"]]})
+        assert own.run("alter database set tee false") == {"success_msg": "Successfully disabled tee."}
+        own.insert({"a": [[9, 9]]})
+        server.shutdown()
+    assert sorted((x["name"], x["points"]) for x in map(json.loads, lines)) == [("a", [[1, 2]]), ("a", [[3, 4]]), ("b", [[5, "x"]])]
+    with pytest.raises(QueryError, match="Invalid tee address"):
+        own.run("alter database set tee 'x:y'")

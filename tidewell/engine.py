@@ -27,6 +27,7 @@ from tidewell.sources.ingest import coerced, staged, types_of
 from tidewell.sources.points import KINDS, VALUE, empty
 from tidewell.sources.readers import staged_frame
 from tidewell.sources.store import Store
+from tidewell.streaming.tee import parsed, tcp_tee
 
 DEFAULT_COLUMNS = {"series": ("name",), "shards": tuple("sid pool server start end".split()), "groups": ("name",), "tags": ("name",), "pools": ("pool", "servers", "series"), "users": ("name", "access"), "servers": tuple("name pool version online status".split())}
 UNLIMITED_ROWS = 1000
@@ -83,6 +84,8 @@ class Engine:
         fresh = self._unexpired(coerced(stage, None if self._empty() else types_of(self.points())))
         for tee in self.tees:
             tee(fresh)
+        if self.options.tee:
+            tcp_tee(fresh, self.options.tee)
         if self.store is not None:
             self.store.append(fresh)
         else:
@@ -399,6 +402,8 @@ class Engine:
             raise QueryError("List limit should be a value greater than or equal to 1000.")
         if prop == "select_points_limit" and value < 1:
             raise QueryError("Select points limit should be a value greater than 0.")
+        if prop == "tee" and value is not None:
+            parsed(value)
         if prop == "timezone":
             zone(value)
             if value == self.options.timezone:
