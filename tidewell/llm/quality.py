@@ -35,7 +35,9 @@ WINDOW = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
 #: Documents with fewer words are not judged by the class or the word histogram.
 CLASS_WORDS, WORD_WORDS = 80, 120
-MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE = 0.29, 0.29
+MOST_CLASS_DISTANCE = 0.29
+#: The limit for words falls with their number, as the part of the distance that chance makes does: the first plus the second by its square root.
+MOST_WORD_DISTANCE, CHANCE = 0.24, 0.9
 
 
 def _let(value: Column, body) -> Column:
@@ -163,7 +165,7 @@ def judged(measured: DataFrame) -> DataFrame:
         *columns[:-2], base_failed().alias("base_failed"),
         F.when(F.col("n_words") >= CLASS_WORDS, F.col("by_class")).alias("class_distance"), F.when(F.col("n_words") >= WORD_WORDS, F.col("by_word")).alias("word_distance"),
     )
-    far = (F.coalesce("class_distance", F.lit(0.0)) > MOST_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MOST_WORD_DISTANCE)
+    far = (F.coalesce("class_distance", F.lit(0.0)) > MOST_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MOST_WORD_DISTANCE + CHANCE / F.sqrt(F.greatest(F.col("n_words"), F.lit(1))))
     return rows.withColumn("kept", ~F.col("base_failed") & ~far)
 
 
@@ -208,7 +210,7 @@ q AS (SELECT lang AS rl, [x / list_sum(c) FOR x IN c] AS qc, [x / list_sum(k) FO
 p AS (SELECT b.*, qc, qk, [x / list_sum(c) FOR x IN c] AS pc, [x / list_sum(k) FOR x IN k] AS pk FROM b LEFT JOIN q ON rl = lang),
 e AS (SELECT *, CASE WHEN n_words >= {CLASS_WORDS} THEN {far("pc", "qc")} END AS dc, CASE WHEN n_words >= {WORD_WORDS} THEN {far("pk", "qk")} END AS dk FROM p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT coalesce(dc > {MOST_CLASS_DISTANCE}, FALSE) AND NOT coalesce(dk > {MOST_WORD_DISTANCE}, FALSE) AS kept
+       NOT base_failed AND NOT coalesce(dc > {MOST_CLASS_DISTANCE}, FALSE) AND NOT coalesce(dk > {MOST_WORD_DISTANCE} + {CHANCE} / sqrt(greatest(n_words, 1)), FALSE) AS kept
 FROM e"""
 
 
