@@ -81,7 +81,10 @@ class Engine:
         return (1 << 32) - 1 if self.options.time_precision == "s" else (1 << 63) - 1
 
     def _add(self, stage: DataFrame) -> None:
-        fresh = self._unexpired(coerced(stage, None if self._empty() else types_of(self.points())))
+        known = None
+        if not self._empty():
+            known = types_of(self.points().join(stage.select("series").distinct(), "series", "left_semi"))
+        fresh = self._unexpired(coerced(stage, known))
         for tee in self.tees:
             tee(fresh)
         if self.options.tee:
