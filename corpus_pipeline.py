@@ -26,10 +26,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = minhash.near_duplicates(docs, width=3, percent=85)
     ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("many"), F.bool_and("kept").alias("kept"))
     ids = written(ids.where("NOT kept OR many > 1"), "in-question")
-    flagged = perhaps_in(docs, "doc_id", ids.select(F.col("_id").cast(docs.schema["doc_id"].dataType)), "_maybe")
-    sure = flagged.where("NOT _maybe").select(docs.columns)
-    rest = flagged.where("_maybe").join(ids.where("NOT kept"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(docs.columns)
-    return sure.unionByName(rest.where("doc_id IS NULL")).unionByName(rest.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    flagged = perhaps_in(packed, "id", ids.select("_id"))
+    rest = flagged.where("_maybe").join(ids.where("NOT kept"), F.col("id").eqNullSafe(F.col("_id")), "left_anti")
+    rest = rest.where("id IS NULL").select("row").unionByName(rest.where("id IS NOT NULL").dropDuplicates(["id"]).select("row"))
+    return flagged.where("NOT _maybe").select("row").unionByName(rest).select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
