@@ -60,7 +60,8 @@ def test_stages_on_odd_tables(spark):
     schema = spark.read.parquet(f"{SF}/documents.parquet").schema
     fine = " ".join(f"the word{i} of and to" for i in range(60))
     odd = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "a", 0), (3, fine, "en", "a", len(fine)), (3, fine, "en", "a", len(fine)), (None, fine + " x", None, None, 3)], schema)
-    for table in (odd, odd.limit(0)):
+    wide = odd.selectExpr("*", "1 AS row", "2 AS id", "3 AS _id", "4 AS kept", "5 AS _maybe", "6 AS _row", "7 AS n_words", "8 AS ids")
+    for table in (odd, odd.limit(0), wide):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, table, SF).columns == table.columns
         assert corpus_pipeline.STAGES[-1][1](spark, table, SF).count() == table.count()
