@@ -37,7 +37,7 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Segments in each of the two generations of the cache; pairs of pieces.
-CACHED, CACHED_PAIRS = 200_000, 300_000
+CACHED, CACHED_PAIRS = 300_000, 600_000
 ROWS = 64
 
 
