@@ -295,6 +295,17 @@ def test_chat(spark):
     assert chat.read_back(chat.formatted(df.limit(0))).count() == 0
 
 
+def test_chat_cuts_change_no_ids():
+    import random
+
+    rng, codec = random.Random(5), chat.codec(chat.VOCABULARY)
+    parts = ["a", "the", " ", "  ", "   ", "\n", "\t", "\u00a0", "\u3000", "\x1c", "é", "ß", "梦", "😀", "'s", "'ll", "12", "...", "#", "A", "\u0301", "<|endoftext|>"]
+    texts = [t for t in TEXTS if t] + ["".join(rng.choices(parts, k=rng.randint(1, 18))) for _ in range(4000)]
+    whole = [x.ids for x in codec.library.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, np.int32).tolist() for x in codec.encode(texts)] == whole
+    assert [codec.decode(np.frombuffer(x, np.int32)) for x in codec.encode(texts)] == texts
+
+
 def test_mixing(spark, docs):
     rng = np.random.default_rng(8)
     rows = [(i, " ".join(["w"] * int(rng.integers(0, 300))), f"s{int(rng.integers(5)) if rng.random() < 0.6 else 0}", 1) for i in range(600)]

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import table
+from tidewell.llm.token_counts import balanced
 
 VOCABULARY = "byte_bpe_50k.json"
 OPEN, CLOSE_ROLE, END = "### ", ": ", "</turn>\n"
@@ -33,6 +34,9 @@ CONTROL = re.compile(r"#(?=##)|<(?=/turn>)")
 IN_ROLE = re.compile(r"#(?=##)|<(?=/turn>)|:(?= )")
 CHUNK = 1 << 16
 ROWS = 1024
+#: Where a text can be cut without changing its ids: no token reaches from one of these characters to a space behind it.
+CUT = re.compile(r"(?<=[!-~\u00c0-\u024f])(?= )")
+CACHED = 200_000
 
 
 def escaped(text: str, control: re.Pattern = CONTROL) -> str:
@@ -62,8 +66,22 @@ class Codec:
         for piece, i in self.library.get_vocab(with_added_tokens=False).items():
             self.bytes[i] = bytes(byte[c] for c in piece) if all(c in byte for c in piece) else piece.encode()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as 32-bit integers; its parts are encoded once for as long as they stay in a bounded cache."""
+        parts = [CUT.split(x) if x else [] for x in texts]
+        if len(self.new) > CACHED:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        missing = set().union(*parts).difference(new)
+        for part in missing & old.keys():
+            new[part] = old[part]
+        for batch in balanced(sorted(missing.difference(old))):
+            found = self.library.encode_batch_fast(batch, add_special_tokens=False)
+            new.update((part, np.array(x.ids, np.int32).tobytes()) for part, x in zip(batch, found, strict=True))
+        return [b"".join(map(new.__getitem__, x)) for x in parts]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -76,10 +94,6 @@ def codec(name: str) -> Codec:
     return Codec(vocabulary_path(name))
 
 
-def _ints(x) -> bytes:
-    return np.asarray(x, np.int32).tobytes()
-
-
 def formatted(conversations: DataFrame, vocabulary: str = VOCABULARY, chunk: int = CHUNK) -> DataFrame:
     """Chunks (conv_id, chunk, input_ids, loss_mask) of every conversation, in order within a partition.
 
@@ -93,7 +107,7 @@ def formatted(conversations: DataFrame, vocabulary: str = VOCABULARY, chunk: int
                 roles, texts = (batch.column(k).to_pylist() for k in (2, 3))
                 found = with_ids.encode([escaped(x or "", IN_ROLE) for x in roles] + [escaped(x or "") for x in texts])
                 n = batch.num_rows
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([_ints(x) for x in found[:n]], pa.binary()), pa.array([_ints(x) for x in found[n:]], pa.binary()), batch.column(4)], ["conv_id", "turn", "role", "role_ids", "text_ids", "tie"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(found[:n], pa.binary()), pa.array(found[n:], pa.binary()), batch.column(4)], ["conv_id", "turn", "role", "role_ids", "text_ids", "tie"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with_ids = codec(vocabulary)
