@@ -90,6 +90,21 @@ def test_licences(spark):
     assert licences.model()["accuracy"] > 0.95
 
 
+def test_licence_lines_without_a_key_word(spark):
+    lines = ["All rights reserved.", "Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3."]
+    found = licences.scanned(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["families"] for r in found] == ["Proprietary", "MIT", "CC-BY-NC", "Apache-2.0", "GPL-3.0"]
+
+
+def test_licence_gate_passes_what_can_be_confirmed():
+    m, rng = licences.model(), np.random.default_rng(3)
+    gate = re.compile(licences.gate().replace(r"\p{L}\p{N}", "a-z0-9"))
+    for ids in m["pairs"]:
+        least = next(n for n in range(len(ids) + 1) if n >= licences.CONFIRMED * len(ids))
+        for _ in range(200):
+            assert gate.search(" -- ".join(m["names"][i] for i in rng.permutation(ids)[:least]))
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://COM/en/x", "https://a.b.com/en/1?q#f", "http://example.com/en/77", "http://wexample.com/en/7", "http://x.example.com/en/7", "http://x.net/de/8", "http://example.net/de/8/", "http://y.example.net/de/80", "http://org/es/", "http://com", "ftp://u.com?x=/en/", "http://a.com/EN/", "x://a://b.com/en/"]
     rows = [(i, u, "clash") for i, u in enumerate(urls)] * 2

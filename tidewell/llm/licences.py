@@ -5,7 +5,8 @@ digits) that the templates have, but for lone stop words; the classes are licenc
 classifier is multinomial logistic regression, fitted on the driver on variants of the templates and of other prose below (VARIANTS of each,
 a fixed set, nothing from the corpus); its probabilities are calibrated by a temperature and the limit of the unknown class by
 the variants held out. A prediction stands if its probability reaches the limit and the paragraph holds at least CONFIRMED
-of the word pairs of one of the family's templates. Paragraphs without any KEY word are of the unknown class.
+of the word pairs of one of the family's templates. Only paragraphs that hold a pair of gate() are scored: of each template these are
+so many pairs that without any of them too few are left to confirm it, so that no paragraph which could be confirmed is left out.
 
 Scoring is array functions inside a row: features come from a hash table in the plan, weights are integers, so nothing is shuffled.
 
@@ -68,6 +69,7 @@ OTHER = [
     "The GNU is a large antelope of the plains.", "BSD stands for several things, among them a degree.", "The Mozilla office moved to a new street.", "Attribution of the painting to the master is disputed.", "Use of the software requires training.", "The license plate of the car was found in the river.",
 ]
 KEY = "licen[sc]e[sd]?|licensing|copyright|warrant(?:y|ies)|permission|redistribut(?:e|ion)|spdx|mit|apache|gnu|a?l?gpl|bsd|mozilla|mpl|creative|cc|cc0|isc|proprietary|copying|domain"
+SEPARATOR = r"[^\p{L}\p{N}]"
 STOP = set("the of and to in is it that for on by as was are with be from this or an at a any all you may not no if can which".split())
 VARIANTS, HELD_OUT, SEED = 40, 4, 5
 CONFIRMED, MOST_UNKNOWN = 0.6, 0.005
@@ -136,6 +138,21 @@ def model() -> dict:
     return {"families": families, "names": names, "weights": np.rint(w.T * SCALE).astype(int).tolist(), "intercepts": np.rint(b * SCALE).astype(int).tolist(), "limit": limit, "pairs": pairs, "owners": owners, "accuracy": accuracy}
 
 
+@lru_cache(maxsize=1)
+def gate() -> str:
+    """A regular expression that lower-case texts without a match hold too few pairs of every template: of each it has all but so many that the rest does not confirm."""
+    m = model()
+    chosen: set[str] = set()
+    for ids in sorted(m["pairs"], key=len):
+        pairs = sorted((m["names"][i] for i in ids), key=lambda p: (p not in chosen, sum(w in STOP for w in p.split(" ")), p.split(" ")[0] in STOP, p))
+        need = next(n for n in range(len(pairs) + 1) if n >= CONFIRMED * len(pairs))
+        chosen |= set(pairs[: len(pairs) - need + 1])
+    second: dict[str, list[str]] = {}
+    for first, then in sorted(p.split(" ") for p in chosen):
+        second.setdefault(first, []).append(then)
+    return r"(?<![\p{L}\p{N}])(?:" + "|".join(f"{first}{SEPARATOR}++(?:{'|'.join(then)})" for first, then in second.items()) + r")(?![\p{L}\p{N}])"
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
@@ -153,7 +170,7 @@ def _let(value: Column, body) -> Column:
 
 
 def _family(line: Column, m: dict) -> Column:
-    """The confirmed family of a paragraph with a key word, else null."""
+    """The confirmed family of a paragraph, else null."""
     buckets: list[list[dict]] = [[] for _ in range(BUCKETS)]
     for i, name in enumerate(m["names"]):
         h = _hash(name.split(" "))
@@ -162,7 +179,7 @@ def _family(line: Column, m: dict) -> Column:
     grid = held(buckets, "array<array<struct<h:bigint,i:int>>>")
     weights, intercepts = held(m["weights"], "array<array<bigint>>"), held(m["intercepts"], "array<bigint>")
     templates = held([{"p": p, "k": k} for p, k in zip(m["pairs"], m["owners"], strict=True)], "array<struct<p:array<int>,k:int>>")
-    split = F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    split = F.filter(F.split(F.lower(line), f"{SEPARATOR}+"), lambda x: x != "")
 
     def hashes(ws: Column) -> Column:
         n = F.size(ws)
@@ -194,8 +211,7 @@ def scanned(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     m = model()
     text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_column}`").alias("id"), F.split(text, "\n").alias("lines"))
-    key = rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{KEY})(?![\p{{L}}\p{{N}}])"
-    marked = F.filter(F.transform("lines", lambda x, n: F.struct(n.cast("long").alias("line"), x.alias("text"))), lambda x: x["text"].rlike(key))
+    marked = F.filter(F.transform("lines", lambda x, n: F.struct(n.cast("long").alias("line"), x.alias("text"))), lambda x: F.lower(x["text"]).rlike(gate()))
     rows = rows.select("id", F.size(F.filter("lines", lambda x: x.rlike(rf"[^{SPACE}]"))).cast("long").alias("n_paragraphs"), marked.alias("marked"))
     rows = rows.select("id", "n_paragraphs", F.transform("marked", lambda x: F.struct(x["line"].alias("line"), _family(x["text"], m).alias("family"))).alias("all"))
     rows = rows.select("id", "n_paragraphs", F.filter("all", lambda x: x["family"].isNotNull()).alias("found"))
