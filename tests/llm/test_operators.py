@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 from collections import Counter
 from itertools import combinations
 
@@ -105,6 +106,15 @@ def test_licence_gate_passes_what_can_be_confirmed():
             assert gate.search(" -- ".join(m["names"][i] for i in rng.permutation(ids)[:least]))
 
 
+def test_wrapped_licences(spark):
+    long = [(f, t) for f, ts in licences.TEMPLATES.items() for t in ts if len(t) > 90]
+    cases = [(f, "Some prose stands here\n\n" + "\n".join(mark + x for x in textwrap.wrap(t, width)) + "\n\nand more of it") for f, t in long for width in (72, 30) for mark in ("", " * ", "# ")]
+    cases += [("BSD", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"), ("", "Released under\n\nthe MIT\n\nLicense"), ("", "use in source\n#\nand binary")]
+    found = licences.scanned(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["families"] for r in found] == [f for f, _ in cases]
+    assert found[-3]["n_licences"] == 1 and found[-3]["found"][0]["line"] == 0
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://COM/en/x", "https://a.b.com/en/1?q#f", "http://example.com/en/77", "http://wexample.com/en/7", "http://x.example.com/en/7", "http://x.net/de/8", "http://example.net/de/8/", "http://y.example.net/de/80", "http://org/es/", "http://com", "ftp://u.com?x=/en/", "http://a.com/EN/", "x://a://b.com/en/"]
     rows = [(i, u, "clash") for i, u in enumerate(urls)] * 2

@@ -1,6 +1,8 @@
 """License scans: a trained paragraph classifier whose predictions are confirmed by templates.
 
-A paragraph is a line. Its features are its distinct words and pairs of neighbouring words (lower case, split at all but letters and
+A paragraph is a line, or a window of neighbouring lines that none but lines without letters and digits part (so a licence may be
+wrapped, and comment marks do not count). Windows are tried from every line on that is not confirmed alone, over such lines only, until they have as many words as
+the longest template. Of confirmed windows that overlap, the one with the largest part of its template stays, then the one of fewer lines, then the first; it is one paragraph, at its first line, or with a line of its family that it directly follows or precedes (the rest of a licence of which a line further off is confirmed alone counts again). Its features are its distinct words and pairs of neighbouring words (lower case, split at all but letters and
 digits) that the templates have, but for lone stop words; the classes are licence families and one for everything else. The
 classifier is multinomial logistic regression, fitted on the driver on variants of the templates and of other prose below (VARIANTS of each,
 a fixed set, nothing from the corpus); its probabilities are calibrated by a temperature and the limit of the unknown class by
@@ -10,7 +12,7 @@ so many pairs that without any of them too few are left to confirm it, so that n
 
 Scoring is array functions inside a row: features come from a hash table in the plan, weights are integers, so nothing is shuffled.
 
-Null and empty texts have no paragraphs; repeated rows are scanned alike; an empty table gives an empty result; only the id and the text are read.
+n_paragraphs counts lines, whether windows join them or not. Null and empty texts have no paragraphs; repeated rows are scanned alike; an empty table gives an empty result; only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -133,9 +135,10 @@ def model() -> dict:
     unknown = p[y == classes - 1, :-1].max(1)
     limit = max(0.5, float(np.quantile(unknown, 1 - MOST_UNKNOWN)))
     pairs = [sorted({place[f"{c} {d}"] for c, d in zip(ws, ws[1:], strict=False)}) for f in families for t in TEMPLATES[f] for ws in [_words(t)]]
+    longest = max(len(_words(t)) for f in families for t in TEMPLATES[f])
     owners = [k for k, f in enumerate(families) for _ in TEMPLATES[f]]
     accuracy = float((p.argmax(1) == y).mean())
-    return {"families": families, "names": names, "weights": np.rint(w.T * SCALE).astype(int).tolist(), "intercepts": np.rint(b * SCALE).astype(int).tolist(), "limit": limit, "pairs": pairs, "owners": owners, "accuracy": accuracy}
+    return {"families": families, "names": names, "weights": np.rint(w.T * SCALE).astype(int).tolist(), "intercepts": np.rint(b * SCALE).astype(int).tolist(), "limit": limit, "pairs": pairs, "owners": owners, "longest": longest, "accuracy": accuracy}
 
 
 @lru_cache(maxsize=1)
@@ -147,10 +150,11 @@ def gate() -> str:
         pairs = sorted((m["names"][i] for i in ids), key=lambda p: (p not in chosen, sum(w in STOP for w in p.split(" ")), p.split(" ")[0] in STOP, p))
         need = next(n for n in range(len(pairs) + 1) if n >= CONFIRMED * len(pairs))
         chosen |= set(pairs[: len(pairs) - need + 1])
-    second: dict[str, list[str]] = {}
+    by_letter: dict[str, dict[str, list[str]]] = {}
     for first, then in sorted(p.split(" ") for p in chosen):
-        second.setdefault(first, []).append(then)
-    return r"(?<![\p{L}\p{N}])(?:" + "|".join(f"{first}{SEPARATOR}++(?:{'|'.join(then)})" for first, then in second.items()) + r")(?![\p{L}\p{N}])"
+        by_letter.setdefault(first[0], {}).setdefault(first[1:], []).append(then)
+    branch = lambda firsts: "|".join(f"{rest}{SEPARATOR}++(?:{'|'.join(then)})" for rest, then in firsts.items())
+    return r"(?<![\p{L}\p{N}])(?:" + "|".join(f"{letter}(?:{branch(firsts)})" for letter, firsts in by_letter.items()) + r")(?![\p{L}\p{N}])"
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -170,7 +174,7 @@ def _let(value: Column, body) -> Column:
 
 
 def _family(line: Column, m: dict) -> Column:
-    """The confirmed family of a paragraph, else null."""
+    """The confirmed family of a paragraph, as f, and the largest part of one of its templates that the paragraph holds, as part; else null."""
     buckets: list[list[dict]] = [[] for _ in range(BUCKETS)]
     for i, name in enumerate(m["names"]):
         h = _hash(name.split(" "))
@@ -199,22 +203,56 @@ def _family(line: Column, m: dict) -> Column:
     def chosen(ids: Column, scores: Column, most: Column) -> Column:
         share = 1 / F.aggregate(scores, F.lit(0.0), lambda s, x: s + F.exp(x - most))
         k = F.array_position(scores, most).cast("int") - 1
-        fits = F.exists(templates, lambda t: (t["k"] == k) & (F.size(F.array_intersect(t["p"], ids)) >= CONFIRMED * F.size(t["p"])))
-        return F.when((k < classes - 1) & (share >= m["limit"]) & fits, F.get(held(m["families"], "array<string>"), k))
+        part = F.array_max(F.transform(F.filter(templates, lambda t: t["k"] == k), lambda t: F.when(F.size(F.array_intersect(t["p"], ids)) >= CONFIRMED * F.size(t["p"]), F.size(F.array_intersect(t["p"], ids)) / F.size(t["p"]))))
+        return F.when((k < classes - 1) & (share >= m["limit"]), _let(part, lambda x: F.when(x.isNotNull(), F.struct(F.get(held(m["families"], "array<string>"), k).alias("f"), x.alias("part")))))
 
     return _let(found, decide)
 
 
+def _ends(lines: Column, alone: Column, i: Column, longest: int) -> Column:
+    """The last lines of the windows of two lines or more from line i on."""
+    start = F.struct(F.lit(False).alias("over"), F.lit(0).alias("words"), F.array().cast("array<int>").alias("ends"))
+
+    def step(acc: Column, k: Column) -> Column:
+        n = F.regexp_count(F.get(lines, k), F.lit(r"[\p{L}\p{N}]+"))
+        over = acc["over"] | (acc["words"] >= longest) | F.get(alone, k).isNotNull() | (n == 0)
+        return F.when(over, F.struct(F.lit(True).alias("over"), acc["words"].alias("words"), acc["ends"].alias("ends"))).otherwise(
+            F.struct(F.lit(False).alias("over"), (acc["words"] + n).alias("words"), F.when(k > i, F.concat(acc["ends"], F.array(k))).otherwise(acc["ends"]).alias("ends"))
+        )
+
+    last = F.least(i + longest - 1, F.size(lines) - 1)  # every line has a word
+    return F.aggregate(F.sequence(i, last), start, step)["ends"]
+
+
+def _joined(lines: Column, alone: Column, m: dict) -> Column:
+    """The confirmed windows of two lines or more that stay, as line and family; alone: what each line is by itself."""
+    near = F.transform(lines, lambda x, i: F.concat_ws(" ", x, F.get(lines, i + 1)).rlike(gate()))
+
+    def windows(marks: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(alone, i).isNull() & F.exists(F.slice(marks, i + 1, F.lit(m["longest"])), lambda x: x))
+        return F.flatten(F.transform(starts, lambda i: F.transform(_ends(lines, alone, i, m["longest"]), lambda j: F.struct(i.alias("i"), j.alias("j"), F.array_join(F.slice(lines, i + 1, j - i + 1), " ").alias("t")))))
+
+    likely = F.filter(_let(near, windows), lambda w: w["t"].rlike(gate()))
+    scored = F.filter(F.transform(likely, lambda w: F.struct(w["i"].alias("i"), w["j"].alias("j"), _family(w["t"], m).alias("x"))), lambda w: w["x"].isNotNull())
+    ranked = F.sort_array(F.transform(scored, lambda w: F.struct((-w["x"]["part"]).alias("far"), (w["j"] - w["i"]).alias("more"), w["i"].alias("i"), w["j"].alias("j"), w["x"]["f"].alias("family"))))
+    none = F.array().cast("array<struct<i:int,j:int,family:string>>")
+    step = lambda acc, w: F.when(F.exists(acc, lambda c: (c["i"] <= w["j"]) & (w["i"] <= c["j"])), acc).otherwise(F.concat(acc, F.array(F.struct(w["i"].alias("i"), w["j"].alias("j"), w["family"].alias("family")))))
+    beside = lambda w: F.coalesce(F.when(w["i"] > 0, F.get(alone, w["i"] - 1)) == w["family"], F.lit(False)) | F.coalesce(F.get(alone, w["j"] + 1) == w["family"], F.lit(False))
+    return F.transform(F.filter(F.aggregate(ranked, none, step), lambda w: ~beside(w)), lambda w: F.struct(w["i"].cast("long").alias("line"), w["family"].alias("family")))
+
+
 def scanned(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, n_paragraphs (lines with a word), n_licences (paragraphs of a confirmed family), families (distinct, by name, joined by ", "; empty if
     none) and found (line number and family of each) of every row."""
     m = model()
     text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_column}`").alias("id"), F.split(text, "\n").alias("lines"))
-    marked = F.filter(F.transform("lines", lambda x, n: F.struct(n.cast("long").alias("line"), x.alias("text"))), lambda x: F.lower(x["text"]).rlike(gate()))
-    rows = rows.select("id", F.size(F.filter("lines", lambda x: x.rlike(rf"[^{SPACE}]"))).cast("long").alias("n_paragraphs"), marked.alias("marked"))
-    rows = rows.select("id", "n_paragraphs", F.transform("marked", lambda x: F.struct(x["line"].alias("line"), _family(x["text"], m).alias("family"))).alias("all"))
-    rows = rows.select("id", "n_paragraphs", F.filter("all", lambda x: x["family"].isNotNull()).alias("found"))
+    rows = docs.select(F.col(f"`{id_column}`").alias("id"), F.split(text, "\n").alias("lines"), F.lower(text).alias("text"))
+    none = F.array().cast("array<string>")
+    rows = rows.select("id", F.size(F.filter("lines", lambda x: x.rlike(rf"[^{SPACE}]"))).cast("long").alias("n_paragraphs"), F.when(F.col("text").rlike(gate()), F.split("text", "\n")).otherwise(none).alias("lines"))
+    rows = rows.select("id", "n_paragraphs", "lines", F.transform("lines", lambda x: F.when(x.rlike(gate()), _family(x, m)["f"])).alias("alone"))
+    lone = F.filter(F.transform("alone", lambda f, n: F.struct(n.cast("long").alias("line"), f.alias("family"))), lambda x: x["family"].isNotNull())
+    joined = F.when(F.size("lines") > 1, _joined(F.col("lines"), F.col("alone"), m)).otherwise(F.array().cast("array<struct<line:bigint,family:string>>"))
+    rows = rows.select("id", "n_paragraphs", F.sort_array(F.concat(lone, joined)).alias("found"))
     families = F.array_join(F.sort_array(F.array_distinct(F.transform("found", lambda x: x["family"]))), ", ")
     return rows.select(F.col("id").alias(id_column), "n_paragraphs", F.size("found").cast("long").alias("n_licences"), families.alias("families"), "found")
 
