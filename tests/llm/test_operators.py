@@ -146,6 +146,16 @@ def test_url_models_generalise(spark):
     assert sum(right) >= 57
 
 
+def test_url_models_keep_rare_strings(spark, monkeypatch):
+    urls = [f"http://w{i % 50}.{'net/de/garten' if i % 2 else 'com/en/casino-win'}{i * 7 % 900}" for i in range(400)] + [f"http://q{i}.info/x/{'garten' if i % 2 else 'casino-win'}{i}" for i in range(40)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = url_filter.url_verdicts(pages).orderBy("page_id").collect()
+    assert sum(r["verdict"] == ("allow" if r["page_id"] % 2 else "block") for r in want[400:]) >= 38
+    for least in (30, 1_000_000):  # as if so many more strings were over MOST_STRINGS
+        monkeypatch.setattr(url_filter, "_LEAST", f"SELECT {least} AS least FROM {{counts}} LIMIT 1")
+        assert url_filter.url_verdicts(pages).orderBy("page_id").collect() == want
+
+
 def test_token_counts(spark, docs):
     from tokenizers import Tokenizer
 

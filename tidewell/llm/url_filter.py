@@ -1,12 +1,13 @@
 """URL filter: rules, and a ratio of character language models where no rule fits.
 
 Two smoothed variable-order Markov models over characters, one of accepted and one of rejected URLs, are counted from the URLs that
-the rules decide, but for a held-out share. A context is as long as the counts bear: strings that are too rare (fewer
-than the least power of two, 2 or more, that leaves at most MOST_STRINGS of them) are not in the model, which is Witten-Bell smoothed from the order below.
+the rules decide, but for a held-out share. A context is as long as the counts bear: strings that occur once are not
+in the model, which is Witten-Bell smoothed from the order below. So the model grows with the URLs; SQL, which drops rarer strings from more than MOST_STRINGS on, says the same up to that number.
 The filter is the difference of the log-likelihoods by length, with the limit that makes the least balanced error on the held-out URLs.
 
 The ratio of both models is written as weights of strings and of contexts, in millionths, of which a URL's difference is the sum;
-so scoring is a broadcast join with the bounded model and a sum of integers, which any order of rows gives alike.
+so scoring is a sum of integers, which any order of rows gives alike. Weights of the commonest strings (those that occur as often as
+the least power of two, 2 or more, that leaves at most MOST_STRINGS of them) are broadcast; the others are joined by key, and no key of theirs is common in the model.
 
 A null URL, or one without "://", has an empty host and path, fits no rule and is scored as it is (null as empty). Without URLs of
 both kinds among the decided ones the limit is 0. Repeated rows are judged alike; an empty table gives an empty result. Only the id and the
@@ -18,11 +19,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import LOWER, UPPER, table, written
+from tidewell.llm.common import LOWER, UPPER, perhaps_in, table, written
 
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 ORDER, ALPHABET = 4, 256
+#: Strings whose weights are broadcast.
 MOST_STRINGS = 200_000
+LEAST_COUNT = 2
 #: The first digit of a URL's digest, below this: held out for the limit.
 HELD_OUT = "3"
 STEP, EDGE = 10_000, 1000
@@ -79,22 +82,38 @@ JOIN {{contexts}} AS x ON x.x = c.x AND x.k = {k} JOIN {{order_{k - 1}}} AS d ON
 
 _ALL = " UNION ALL ".join(f"SELECT * FROM {{order_{k}}}" for k in range(ORDER + 1))
 _WEIGHTS = "SELECT 'g' || g AS f, w FROM {model} UNION ALL SELECT DISTINCT 'c' || x AS f, back AS w FROM {model} WHERE k > 0"
+#: The same, with whether the weight is to be broadcast.
+_SPLIT = """
+SELECT f, w, bool_or(n >= least) AS hot FROM (
+  SELECT s.f, s.w, c.a + c.r AS n FROM (SELECT g, explode(array(struct('g' || g AS f, w AS w), CASE WHEN k > 0 THEN struct('c' || x AS f, back AS w) END)) AS s FROM {model}) AS m JOIN {counts} AS c ON c.g = m.g WHERE s IS NOT NULL) AS t
+CROSS JOIN {least} AS l GROUP BY f, w"""
 
 
 #: The texts that a verdict or the limit needs.
 _TEXTS = f"SELECT DISTINCT s FROM {{judged}} WHERE said IS NULL OR fold < '{HELD_OUT}'"
 
 
-def _scores(duck: bool = False) -> str:
-    """s and score: the difference by length, in millionths, of every text."""
+def _parts(duck: bool = False) -> str:
+    """s and f: the strings and contexts of every text."""
     parts = [f"CASE WHEN i > {k} THEN 'g' || substr(s, CAST(i - {k} AS INT), {k + 1}) END" for k in range(ORDER + 1)] + [f"CASE WHEN i > {k} THEN 'c' || substr(s, CAST(i - {k} AS INT), {k}) END" for k in range(1, ORDER + 1)]
     explode = f"unnest([{', '.join(parts)}])" if duck else f"explode(array({', '.join(parts)}))"
+    return f"SELECT s, {explode} AS f FROM (SELECT s, {_each('i', '2', 'length(s)', duck)} FROM {{texts}} AS d) AS p"
+
+
+def _scores(duck: bool = False) -> str:
+    """s and score: the difference by length, in millionths, of every text."""
     return f"""
 SELECT t.s, CAST(floor(coalesce(sum(f.w), 0) / (length(t.s) - 1)) AS BIGINT) AS score
-FROM (SELECT s, {explode} AS f FROM (SELECT s, {_each("i", "2", "length(s)", duck)} FROM {{texts}} AS d) AS p) AS t
+FROM ({_parts(duck)}) AS t
 LEFT JOIN {{weights}} AS f ON f.f = t.f GROUP BY t.s"""
 
 
+#: The sums of both kinds of weights, and the scores of them.
+_HOT = f"SELECT t.s, coalesce(sum(f.w), 0) AS w FROM ({_parts()}) AS t LEFT JOIN {{hot}} AS f ON f.f = t.f GROUP BY t.s"
+_COLD = "SELECT t.s, sum(f.w) AS w FROM {perhaps} AS t JOIN {cold} AS f ON f.f = t.f GROUP BY t.s"
+_SUMS = "SELECT s, CAST(floor(sum(w) / (length(s) - 1)) AS BIGINT) AS score FROM {sums} GROUP BY s"
+
+
 def _limit() -> str:
     """lim: the middle of the gap below the scores from which on allowing makes the least balanced error."""
     h = f"SELECT greatest(-{EDGE}, least({EDGE}, floor(s.score / {STEP}.0))) AS b, sum(CASE WHEN j.said = 'allow' THEN 1 ELSE 0 END) AS a, sum(CASE WHEN j.said = 'block' THEN 1 ELSE 0 END) AS r FROM {{judged}} AS j JOIN {{scores}} AS s ON s.s = j.s WHERE j.said IS NOT NULL AND j.fold < '{HELD_OUT}' GROUP BY 1"
@@ -118,14 +137,22 @@ def url_verdicts(pages: DataFrame, id_column: str = "page_id", url_column: str =
     run(_counts(), "counts")
     run(_LEAST, "least")
     run(_CONTEXTS, "contexts")
+    often, have["least"] = have["least"], spark.sql(f"SELECT {LEAST_COUNT} AS least")
     run(_ORDER_0, "order_0")
     for k in range(1, ORDER + 1):
         run(_order(k), f"order_{k}")
     have["model"] = spark.sql(_ALL, **{f"order_{k}": have[f"order_{k}"] for k in range(ORDER + 1)})
-    have["weights"] = F.broadcast(run(_WEIGHTS, "weights"))  # at most 2 * MOST_STRINGS short rows
+    have["least"] = often
+    weights = run(_SPLIT, "weights")
+    have["hot"] = F.broadcast(weights.where("hot").select("f", "w"))  # at most 2 * MOST_STRINGS short rows
+    have["cold"] = weights.where("NOT hot").select("f", "w")
     # a text becomes some hundred rows, so the texts are spread first
     have["texts"] = spark.sql(_TEXTS, judged=have["judged"]).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    run(_scores(), "scores")
+    have["sums"] = spark.sql(_HOT, texts=have["texts"], hot=have["hot"])
+    if not have["cold"].isEmpty():
+        parts = perhaps_in(spark.sql(_parts(), texts=have["texts"]).where("f IS NOT NULL"), "f", have["cold"].select("f"))
+        have["sums"] = have["sums"].unionByName(spark.sql(_COLD, perhaps=parts.where("_maybe").select("s", "f"), cold=have["cold"]))
+    run(_SUMS, "scores")
     run(_limit(), "limit")
     have["limit"] = F.broadcast(have["limit"])  # one row
     return spark.sql(_VERDICT, judged=have["judged"], scores=have["scores"], limit=have["limit"]).withColumnRenamed("page_id", id_column)
