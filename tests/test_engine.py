@@ -314,3 +314,10 @@ def test_ten_points(spark):
     found = own.run("select count(6) from *")["t"]
     assert len(found) == 4 and found[0] == [6, 2] and found[-1] == [30, 2]
     assert own.run("select sum(6) from *")["t"][0] == [6, 4]
+
+
+def test_list_series_query_lists_all(spark, tmp_path):
+    from tidewell.queries import QUERIES
+
+    spark.range(10_500).selectExpr("id AS event_id", "id AS user_id", "timestamp_seconds(1704067200 + id) AS ts", "CAST(id AS DOUBLE) AS value").write.parquet(f"{tmp_path}/events.parquet")
+    assert QUERIES["list_series"](spark, str(tmp_path)).count() == 10_500

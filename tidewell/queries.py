@@ -179,7 +179,7 @@ add(
     RECURSIVE,
 )
 
-add("list_series", asked("list series name, length, start, end, type, shard_duration, pool limit 10000", "users"), CATALOG + "SELECT name, length, start, \"end\", 'float' AS type, CAST(604800000000 AS BIGINT) AS shard_duration, 0 AS pool FROM c")
+add("list_series", asked("list series name, length, start, end, type, shard_duration, pool limit 2147483647", "users", first=("alter database set list_limit 2147483647",)), CATALOG + "SELECT name, length, start, \"end\", 'float' AS type, CAST(604800000000 AS BIGINT) AS shard_duration, 0 AS pool FROM c")
 add("list_shards", asked("list shards sid, start, end, size, type, pool limit 10000"), ", x AS (SELECT ts - ts % 604800000000 AS start, count(*) AS n FROM events_ GROUP BY 1) SELECT start AS sid, start, start + 604800000000 AS \"end\", CAST(16 * n AS BIGINT) AS size, 'number' AS type, 0 AS pool FROM x")
 add("list_groups", asked("list groups name, expression, series", "users", first=("create group `ones` for /user-1.*/", "create group `none` for /x/")), "SELECT 'ones' AS name, '/user-1.*/' AS expression, count(DISTINCT series) AS series FROM users_ WHERE series LIKE 'user-1%' UNION ALL SELECT 'none', '/x/', 0")
 add("list_tags", asked("list tags name, series", "users", first=("alter series /user-1.*/ tag `some`",)), "SELECT 'some' AS name, count(DISTINCT series) AS series FROM users_ WHERE series LIKE 'user-1%'")
