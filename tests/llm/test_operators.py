@@ -361,20 +361,84 @@ def test_mixing(spark, docs):
         assert abs(sum(r["taken"] for r in v) - v[0]["target"]) <= 1
     shards, per = Counter(), {}
     for r in out:
+        assert r["taken"] == sum(d["end"] - d["first"] for d in r["_draws"])
         for d in r["_draws"]:
-            per.setdefault((r["source"], d["block"]), set()).add(d["shard"])
+            per.setdefault((r["source"], d["round"], d["block"]), set()).add(d["shard"])
             shards[d["shard"]] += d["end"] - d["first"]
     assert all(len(s) == 1 for s in per.values()) and set(shards) == set(range(8))
     blocks = Counter(next(iter(s)) for s in per.values())
     assert max(blocks.values()) - min(blocks.values()) <= 1
     plan = mixing.mix_plan(df.drop("size"), block_words=64, shards=8).collect()
     assert sum(r["end_word"] - r["first_word"] for r in plan) == sum(r["taken"] for r in out)
-    mixed = mixing.mixed(df.drop("size"))
+    mixed = mixing.mixed(df.drop("size"), block_words=64, shards=8)
     assert mixed.columns == ["doc_id", "text", "source"]
     assert mixed.select(F.sum(F.size(words(F.col("text"))))).first()[0] == sum(r["taken"] for r in out)
     assert mixing.mixed(none(spark)).count() == 0
 
 
+def mixed_by_hand(rows, block, seed):
+    """What is taken of each (id, source, size), drawing by drawing."""
+    import math
+
+    names = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, (s or "").encode()))
+    sizes = [sum(n for _, s, n in rows if s == name) for name in names]
+    out = Counter()
+    for name, size, target in zip(names, sizes, mixing.targets(sizes), strict=True):
+        own = sorted((hashlib.md5(f"{seed}-{'' if i is None else i}".encode()).hexdigest(), n, i) for i, s, n in rows if s == name)
+        line = [i for _, n, i in own for _ in range(n)]
+        n = max(1, -(-size // block))
+        step, first = mixing.permuted(n, seed, "" if name is None else "s" + name)
+        assert sorted((k * step + first) % n for k in range(n)) == list(range(n))
+        left = math.floor(target + 0.5)
+        while left > 0:
+            for k in sorted(range(n), key=lambda k: (k * step + first) % n):
+                part = line[k * block : (k + 1) * block][:left]
+                out.update(part)
+                left -= len(part)
+    return out
+
+
+def test_mixing_by_hand(spark):
+    rng = np.random.default_rng(18)
+    rows = [(i, ("a", "b", "c", None)[int(rng.integers(4)) if rng.random() < 0.5 else 0], int(rng.integers(0, 90))) for i in range(300)] + [(900, "long", 5000), (901, "zero", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n long")
+    takes = {}
+    for seed in (1, 2):
+        found = mixing.draws(df, F.col("source"), F.col("n"), F.col("doc_id"), block_words=50, shards=5, seed=seed).select("_row.doc_id", "_row.source", "_row.n", mixing.taken().alias("taken"), F.col("_s.target").alias("target")).collect()
+        takes[seed] = {r["doc_id"]: r["taken"] for r in found}
+        by_hand = mixed_by_hand(rows, 50, seed)
+        assert takes[seed] == {i: by_hand[i] for i, _, _ in rows}
+        again = mixing.draws(df.repartition(7), F.col("source"), F.col("n"), F.col("doc_id"), block_words=50, shards=5, seed=seed).select("_row.doc_id", mixing.taken().alias("taken")).collect()
+        assert {r["doc_id"]: r["taken"] for r in again} == takes[seed]
+        for name in ("a", "b", "c", None, "long"):
+            assert abs(sum(r["taken"] for r in found if r["source"] == name) - next(r["target"] for r in found if r["source"] == name)) <= 0.5
+        assert all(r["taken"] <= 3 * r["n"] for r in found)
+    assert takes[1] != takes[2]
+
+
+def test_nothing_is_taken_but_what_shards_draw(spark, monkeypatch):
+    """With a tree that deals out only half of the quotas, half of the blocks are taken."""
+    df = spark.createDataFrame([(i, "a", 40) for i in range(500)], "doc_id long, source string, n long")
+    monkeypatch.setattr(mixing, "split", lambda quotas, shards, rng: np.vstack([quotas // 2 // shards] * shards))
+    found = mixing.draws(df, F.col("source"), F.col("n"), F.col("doc_id"), block_words=100, shards=4).select(F.sum(mixing.taken())).first()[0]
+    assert found == 500 * 40 // 2
+
+
+def test_mixed_keeps_texts_together(spark):
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(30)), "ab"[i % 2], 0) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    out = mixing.mixed(df, block_words=45, shards=4).collect()
+    taken = Counter(w for r in out for w in r["text"].split())
+    plan = mixing.mix_plan(df, block_words=45, shards=4).collect()
+    assert taken == Counter(f"d{r['doc_id']}w{k}" for r in plan for k in range(r["first_word"], r["end_word"]))
+    assert all(r["n_chars"] == len(r["text"]) and r["text"] in rows[r["doc_id"]][1] for r in out)
+    assert sum(r["text"] == rows[r["doc_id"]][1] for r in out) > len(out) / 2
+    by_shard = {}
+    for r in plan:
+        by_shard.setdefault(r["shard"], []).append(r["source"])
+    assert len(by_shard) == 4 and all(set(x) == {"a", "b"} and sorted(x) != x for x in by_shard.values())
+
+
 def test_targets_and_tree():
     assert mixing.targets([100, 100, 100]) == [187.5, 75.0, 37.5]
     assert mixing.targets([10, 100, 100]) == [30.0, 120.0, 60.0]
@@ -384,6 +448,21 @@ def test_targets_and_tree():
     assert leaves.sum(0).tolist() == [50, 7, 0, 1000] and np.ptp(leaves.sum(1)) <= 1
 
 
+def test_draws_beyond_a_billion():
+    rng = np.random.Generator(np.random.PCG64(1))
+    leaves = mixing.split(np.array([3_000_000_000, 5, 0, 2_000_000_000]), 6, rng)
+    assert leaves.sum(0).tolist() == [3_000_000_000, 5, 0, 2_000_000_000] and np.ptp(leaves.sum(1)) <= 1
+    assert abs(leaves[:, 0] - 5e8).max() < 6 * 15000
+
+
+def test_large_draws_have_the_distribution(monkeypatch):
+    rng = np.random.Generator(np.random.PCG64(2))
+    exact = rng.hypergeometric(3000, 2000, 700, 20000)
+    monkeypatch.setattr(mixing, "BILLION", 0)
+    mine = np.array([mixing.hypergeometric(3000, 2000, 700, rng) for _ in range(20000)])
+    assert abs(exact.mean() - mine.mean()) < 0.5 and abs(exact.std() - mine.std()) < 0.3
+
+
 def test_near_vectors(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "CHUNK", 16)
     rng = np.random.default_rng(9)
