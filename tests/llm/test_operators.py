@@ -592,6 +592,43 @@ def test_near_vectors(spark, monkeypatch):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def test_reach_is_exact_unless_queries_tell_more():
+    exact = embeddings.exact_reach(0.98)
+    assert embeddings.whole_reach([], 0.98, 0.98) == exact and embeddings.whole_reach([0.01] * 100, 0.98, 0.98) == exact
+    assert embeddings.whole_reach([0.01] * 200, 0.98, 0.98) == pytest.approx(0.015)
+    assert embeddings.whole_reach([0.19] * 200, 0.98, 0.98) == exact and embeddings.whole_reach([0.01] * 9999, 0.98, 1.0) == exact
+
+
+@pytest.mark.parametrize("noise", [0.004, 0.02])
+def test_near_vectors_recall_where_the_reach_is_measured(spark, monkeypatch, noise):
+    """More links than the exact way would need: the measured reach finds nine in ten and more, and invents none."""
+    monkeypatch.setattr(embeddings, "PER_CELL", 4)
+    rng = np.random.default_rng(19)
+    centres = rng.normal(size=(500, 24))
+    x = np.repeat(centres, 6, axis=0)
+    x += rng.normal(size=x.shape) * rng.choice([noise, 4 * noise], size=(len(x), 1))
+    rows = [(i, v.tolist(), i % 2 * (i // 6 % 3)) for i, v in enumerate(x)]
+    reach = []
+    take = embeddings.whole_reach
+    monkeypatch.setattr(embeddings, "whole_reach", lambda *a: reach.append(take(*a)) or reach[-1])
+    found = {r["vec_id"]: r["n_links"] for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert reach[0] < embeddings.exact_reach(0.98)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    label = np.array([r[2] for r in rows])
+    near = (unit @ unit.T >= 0.98) & (label[:, None] == label[None])
+    np.fill_diagonal(near, False)
+    got = np.array([found[i] for i in range(len(x))])
+    assert (got <= near.sum(1)).all() and got.sum() >= 0.98 * near.sum() and near.sum() > 3000
+
+
+def test_every_length_has_its_grid(spark):
+    rng = np.random.default_rng(20)
+    rows = [(i, rng.normal(size=6).tolist(), 1) for i in range(400)] + [(1000 + i, rng.normal(size=5).tolist(), 1) for i in range(3)]
+    classes = spark.createDataFrame([(str(g), len(v), hashlib.md5(str(i).encode()).digest(), np.array(v).tobytes()) for i, v, g in rows], "label string, dim int, key binary, vec binary")
+    samples = embeddings.sampled(classes, classes.groupBy("label", "dim").agg(F.count("*").alias("n")))
+    assert {d: len(x) for d, x in samples.items()} == {6: 400, 5: 3}
+
+
 def test_pieces_are_the_librarys(spark, docs):
     import random
 

@@ -1,9 +1,13 @@
 """Embedding near-dedup over an inverted multi-index.
 
-Two codebooks, one for each half of the unit vectors, are fitted on at most SAMPLE vectors (those with the least digests) and make a product grid of
-cells. Each vector lives in one cell and visits others by multi-sequence traversal, nearest first, where near is how
-far a vector must at least be moved to reach the cell. It stops at the distance within which the sample's own links lie
-(their quantile at TARGET_RECALL, found by brute force inside the sample, times MARGIN; with fewer than LEAST_LINKS of them, at the distance beyond which no link can lie).
+Two codebooks, one for each half of the unit vectors, are fitted on a sample and make a product grid of
+cells, which grows with the table: PER_CELL vectors of the largest label in a cell, on average. Each vector lives in one cell and visits others by multi-sequence traversal, nearest first, where near is how
+far a vector must at least be moved to reach the cell. How far it goes is measured on the table: QUERIES vectors are compared with all others by brute force, and the reach is
+MARGIN times the farthest that one of them has to go for a link. That all linked vectors but a part of 1 - TARGET_RECALL need no more is SURE if there are enough linked queries (whole_reach());
+else nothing is risked, and the reach is the distance beyond which no link can lie.
+
+The sample is bounded: SAMPLE vectors and SAMPLE_BYTES of them, about, those with the least digests among the vectors of their length, of which each has its share. A codebook has no more centres
+than the sample has distinct halves.
 Every vector is indexed, and whatever shares a visited cell is verified by its cosine in double precision.
 
 Exact copies are one class with one representative. A cell is cut into chunks of about CHUNK residents that a task holds
@@ -30,11 +34,9 @@ from tidewell.llm.common import table, written
 from tidewell.llm.components import components
 
 LEAST_COSINE = 0.98
-TARGET_RECALL, MARGIN = 1.0, 1.5
-SAMPLE, CHUNK, PER_CELL, MOST_CENTRES = 20_000, 1024, 16, 256
+TARGET_RECALL, SURE, MARGIN, QUERIES = 0.98, 0.95, 1.5, 512
+SAMPLE, SAMPLE_BYTES, CHUNK, PER_CELL = 20_000, 128 << 20, 1024, 16
 ROWS = 1024
-#: With fewer links in the sample, their reach tells too little, and that beyond which no link can lie is taken.
-LEAST_LINKS = 1000
 
 
 def _unit(values: list | None) -> np.ndarray | None:
@@ -47,14 +49,24 @@ def _unit(values: list | None) -> np.ndarray | None:
     return x / np.sqrt(x @ x)
 
 
+def _digests(x: np.ndarray) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(row.tobytes()) for row in x], np.uint64)
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([_squares(x[at : at + ROWS], centres).argmin(1) for at in range(0, len(x), ROWS)])
+
+
 def _centres(half: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     half = np.unique(half, axis=0)
     if len(half) <= k or not half.shape[1]:
         return half
     at = half[rng.choice(len(half), k, replace=False)]
     for _ in range(12):
-        near = _squares(half, at).argmin(1)
-        at = np.stack([half[near == i].mean(0) if (near == i).any() else at[i] for i in range(k)])
+        near = _nearest(half, at)
+        order = np.argsort(near, kind="stable")
+        own, starts, n = np.unique(near[order], return_index=True, return_counts=True)
+        at[own] = np.add.reduceat(half[order], starts, axis=0) / n[:, None]
     return np.unique(at, axis=0)
 
 
@@ -67,6 +79,13 @@ class Grid:
 
     def __init__(self, first: np.ndarray, second: np.ndarray, reach: float) -> None:
         self.books, self.reach = (first, second), reach
+        #: Vectors placed at once, so that a table of them and the centres stays small.
+        self.rows = max(16, min(ROWS, (1 << 20) // max(1, len(first), len(second))))
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        """Each vector's cell."""
+        cut = self.books[0].shape[1]
+        return _nearest(x[:, :cut], self.books[0]) * len(self.books[1]) + _nearest(x[:, cut:], self.books[1])
 
     def placed(self, x: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
         """Each vector's cell, and for each half the squared distance to each centre's region."""
@@ -75,8 +94,7 @@ class Grid:
         for half, book in ((x[:, :cut], self.books[0]), (x[:, cut:], self.books[1])):
             d = _squares(half, book)
             mine = d.argmin(1)
-            between = np.sqrt(_squares(book, book))
-            gap = np.maximum(0, d - d[np.arange(len(x)), mine][:, None]) / (2 * np.maximum(between[mine], 1e-12))
+            gap = np.maximum(0, d - d[np.arange(len(x)), mine][:, None]) / (2 * np.maximum(np.sqrt(_squares(book[mine], book)), 1e-12))
             gap[np.arange(len(x)), mine] = 0
             own.append(mine)
             apart.append(gap * gap)
@@ -84,8 +102,8 @@ class Grid:
 
     def visits(self, a: np.ndarray, b: np.ndarray) -> list[int]:
         """Cells other than the own one in the order of the sum of both gaps, by multi-sequence traversal, up to reach."""
-        i, j = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
         most, width, out = self.reach * self.reach, len(b), []
+        i, j = (near[np.argsort(x[near], kind="stable")] for x, near in ((a, np.flatnonzero(a <= most)), (b, np.flatnonzero(b <= most))))
         heap = [(a[i[0]] + b[j[0]], 0, 0)]
         while heap:
             far, p, q = heapq.heappop(heap)
@@ -93,33 +111,77 @@ class Grid:
                 break
             if p or q:
                 out.append(int(i[p]) * width + int(j[q]))
-            if q + 1 < width:
+            if q + 1 < len(j):
                 heapq.heappush(heap, (a[i[p]] + b[j[q + 1]], p, q + 1))
-            if not q and p + 1 < len(a):
+            if not q and p + 1 < len(i):
                 heapq.heappush(heap, (a[i[p + 1]] + b[j[0]], p + 1, 0))
         return out
 
 
-def fitted(sample: np.ndarray, labels: np.ndarray, k: int, least: float = LEAST_COSINE, recall: float = TARGET_RECALL) -> Grid:
+def exact_reach(least: float) -> float:
+    """The distance of unit vectors beyond which no link can lie."""
+    return float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
+
+
+def whole_reach(far: list[float], least: float, recall: float) -> float:
+    """The reach from the distances that linked queries have to go: that more than 1 - recall of all vectors have to go beyond the greatest of n has the chance recall ** n."""
+    if recall ** len(far) > 1 - SURE:
+        return exact_reach(least)
+    return min(exact_reach(least), MARGIN * max(far) + 1e-9)
+
+
+def fitted(sample: np.ndarray, k: int, least: float = LEAST_COSINE) -> Grid:
     cut = sample.shape[1] // 2
     rng = np.random.Generator(np.random.PCG64(11))
-    exact = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
-    grid = Grid(_centres(sample[:, :cut], k, rng), _centres(sample[:, cut:], k, rng), exact)
-    cells, (a, b) = grid.placed(sample)
-    width, need = len(grid.books[1]), []
-    for label in np.unique(labels):
-        rows = np.flatnonzero(labels == label)
-        for at in range(0, len(rows), ROWS):
-            x = rows[at : at + ROWS]
-            i, j = np.nonzero(sample[x] @ sample[rows].T >= least)
-            i, j = x[i], rows[j]
-            i, j = i[i < j], j[i < j]
-            there = lambda v, w: a[v, cells[w] // width] + b[v, cells[w] % width]
-            need.append(np.minimum(there(i, j), there(j, i)))
-    links = np.concatenate(need) if need else np.empty(0)
-    if len(links) >= LEAST_LINKS:
-        grid.reach = min(exact, MARGIN * float(np.sqrt(np.quantile(links, recall, method="higher"))) + 1e-9)
-    return grid
+    return Grid(_centres(sample[:, :cut], k, rng), _centres(sample[:, cut:], k, rng), exact_reach(least))
+
+
+def needs(classes: DataFrame, grids: dict[int, Grid], queries: dict[int, list[tuple[str, bytes]]], least: float) -> dict[int, list[float]]:
+    """For each length how far each of its queries that has links has to go for all of them; every vector is compared with every query of its length and label."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, most = {}, {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                dims = np.asarray(batch.column("dim"))
+                for dim in np.unique(dims).tolist():
+                    if dim not in queries:
+                        continue
+                    if dim not in held:
+                        q = np.stack([np.frombuffer(v) for _, v in queries[dim]])
+                        gaps = [grids[dim].placed(q[i : i + grids[dim].rows])[1] for i in range(0, len(q), grids[dim].rows)]
+                        held[dim] = q, np.array([label for label, _ in queries[dim]]), np.vstack([a for a, _ in gaps]), np.vstack([b for _, b in gaps])
+                    (q, labels, a, b), rows = held[dim], np.flatnonzero(dims == dim).tolist()
+                    x = np.stack([np.frombuffer(batch.column("vec")[i].as_py()) for i in rows])
+                    own = np.array([batch.column("label")[i].as_py() for i in rows])
+                    i, j = np.nonzero((x @ q.T >= least) & (own[:, None] == labels[None]))
+                    other = _digests(x)[i] != _digests(q)[j]
+                    i, j = i[other], j[other]
+                    if len(i):
+                        cell = grids[dim].cells(x)[i]
+                        width = len(grids[dim].books[1])
+                        for n, far in zip(j.tolist(), np.sqrt(a[j, cell // width] + b[j, cell % width]).tolist(), strict=True):
+                            most[dim, n] = max(far, most.get((dim, n), 0.0))
+        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in most], pa.int32()), pa.array([n for _, n in most], pa.int32()), pa.array(list(most.values()), pa.float64())], ["dim", "query", "far"])
+
+    out: dict[int, list[float]] = {dim: [] for dim in queries}
+    for r in classes.select("label", "dim", "vec").mapInArrow(measure, "dim int, query int, far double").groupBy("dim", "query").agg(F.max("far").alias("far")).collect():
+        out[r["dim"]].append(r["far"])
+    return out
+
+
+def sampled(classes: DataFrame, counts: DataFrame) -> dict[int, list[tuple[str, bytes]]]:
+    """For each length its sample of label and vector. Each length's share is drawn by digest; all shares together are within the bounds, about."""
+    dims = counts.groupBy("dim").agg(F.sum("n").alias("of_dim"))
+    n = dims.count()
+    quota = F.least(F.lit(SAMPLE / max(1, n)), F.lit(SAMPLE_BYTES / max(1, n)) / (8 * F.col("dim")))
+    uniform = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(1 << 30)
+    rows = classes.select("label", "dim", "key", "vec").join(dims, "dim").where(uniform * F.col("of_dim") <= quota).select("label", "dim", "vec")
+    out: dict[int, list[tuple[str, bytes]]] = {}
+    for r in rows.orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE + SAMPLE // 10).collect():
+        out.setdefault(r["dim"], []).append((r["label"], bytes(r["vec"])))
+    return out
 
 
 def near_vectors(rows: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label", least: float = LEAST_COSINE, recall: float = TARGET_RECALL) -> DataFrame:
@@ -138,19 +200,20 @@ def near_vectors(rows: DataFrame, id_column: str = "vec_id", vector_column: str
     named = rows.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{label_column}`").cast("string").alias("label"), F.col(f"`{vector_column}`").cast("array<double>").alias("v"))
     seen = written(named.mapInArrow(unit, "id long, label string, dim int, key binary, vec binary"), "units")
     classes = written(seen.where("key IS NOT NULL").groupBy("label", "dim", "key").agg(F.min("id").alias("id"), F.count("*").alias("many"), F.first("vec").alias("vec")), "vectors")
-    counts = classes.groupBy("label", "dim").count().agg(F.max("count").alias("most")).first()
-    k = int(min(MOST_CENTRES, max(1, round(((counts["most"] or 0) / PER_CELL) ** 0.5))))
-    sample = classes.select("label", "dim", "vec").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).collect()
-    grids = {}
-    for dim in {r["dim"] for r in sample}:
-        mine = [r for r in sample if r["dim"] == dim]
-        grids[dim] = fitted(np.stack([np.frombuffer(r["vec"]) for r in mine]), np.array([r["label"] for r in mine]), k, least, recall)
-    del sample
+    counts = written(classes.groupBy("label", "dim").agg(F.count("*").alias("n")), "counts")
+    k = max(1, round(((counts.agg(F.max("n")).first()[0] or 0) / PER_CELL) ** 0.5))
+    samples, grids, queries = sampled(classes, counts), {}, {}
+    for dim, mine in samples.items():
+        grids[dim] = fitted(np.stack([np.frombuffer(v) for _, v in mine]), k, least)
+        queries[dim] = mine[:: max(1, len(mine) * len(samples) // QUERIES)]
+    for dim, far in needs(classes, grids, queries, least).items():
+        grids[dim].reach = whole_reach(far, least, recall)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = min([ROWS, *(grid.rows for grid in grids.values())])
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
                 dims = np.asarray(batch.column("dim"))
                 cells, visits = np.zeros(len(dims), np.int64), [[] for _ in dims]
                 for dim in np.unique(dims).tolist():
