@@ -312,6 +312,53 @@ def test_salvage(packed):
     assert warc.salvage(b"").records == [] and warc.salvage(b"WARC/1.1\r\nX").gaps
 
 
+def test_payloads_do_not_pass_for_records():
+    forged = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Page-ID: 999\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n".encode()
+    signed = _raw(998, b"an archive inside an archive")
+    outer, ids = _raw(1, b"before " + forged + signed + b" after"), lambda s: [r.headers["warc-page-id"] for r in s.records]
+    good = outer + _raw(2, b"x" * 50)
+    assert ids(warc.salvage(good)) == ["1", "2"]
+    wrong = good.replace(b"before ", b"bEfore ")  # the digest is wrong, the frame is whole
+    found = warc.salvage(wrong)
+    assert ids(found) == ["2"] and found.gaps == [(0, len(outer), "wrong digest")]
+    length = re.search(rb"Content-Length: (\d+)", _raw(1, b"before " + forged + b" after"))[0]
+    broken = _raw(1, b"before " + forged + b" after").replace(length, b"Content-Length: 9999", 1)
+    found = warc.salvage(broken + _raw(2, b"x" * 50))
+    assert ids(found) == ["2"] and found.gaps == [(0, len(broken), "no line ends where the block should end")]
+    whole = forged.replace(b"WARC-Type", b"WARC-Record-ID: <urn:x:1>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Type")
+    assert ids(warc.salvage(b"noise" + whole)) == ["999"] and not ids(warc.salvage(b"noise" + forged))
+
+
+def test_salvage_is_linear():
+    import gzip
+    import time
+
+    member = gzip.compress(_raw(5, b"payload " * 40))
+    took = []
+    for n in (25_000, 100_000):
+        begun = time.perf_counter()
+        found = warc.salvage(member * n)
+        took.append(time.perf_counter() - begun)
+        assert len(found.records) == n and not found.gaps
+    assert took[1] < 8 * took[0]
+    hurt = (b"WARC/1.1\r\nX" * 30_000) + _raw(1, b"y")
+    begun = time.perf_counter()
+    assert len(warc.salvage(hurt).records) == 1 and time.perf_counter() - begun < 30
+
+
+def test_warc_fields(spark, tmp_path):
+    rows = [(3, "z" * 300, "http://a/\r\nX: y"), (4, "z" * 300, None), (4, "z" * 300, ""), (None, "q", "http://b"), (None, "q", "http://b")]
+    path = f"file://{tmp_path}/w"
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, html string, url string"), path, url_column="url", date="2024-01-02T03:04:05Z")
+    data = b"".join(p.read_bytes() for p in (tmp_path / "w").glob("part-*"))
+    found = warc.salvage(data)
+    assert len(found.records) == 5 and not found.gaps
+    assert len({r.headers["warc-record-id"] for r in found.records}) == 5
+    assert all(r.headers["warc-date"] == "2024-01-02T03:04:05Z" and all(r.headers[x] for x in warc.MANDATORY) for r in found.records)
+    assert sorted(r.headers["warc-target-uri"] for r in found.records) == ["http://a/%0D%0AX: y", "http://b", "http://b", "urn:page:4", "urn:page:4"]
+    assert all((r.headers["warc-type"] == "revisit") == (r.headers.get("warc-profile") == warc.PROFILE) for r in found.records)
+
+
 def jaccard_components(texts, width, percent):
     sets = {}
     for i, t in texts.items():
