@@ -382,6 +382,7 @@ def jaccard_components(texts, width, percent):
 @pytest.mark.parametrize("cell", [512, 3])
 def test_near_duplicates(spark, monkeypatch, cell):
     monkeypatch.setattr(minhash, "CELL", cell)
+    monkeypatch.setattr(minhash, "SIGNATURES", cell)
     rng = np.random.default_rng(3)
     texts = dict(enumerate(TEXTS))
     n = 100
@@ -405,6 +406,40 @@ def test_near_duplicates(spark, monkeypatch, cell):
     assert minhash.near_duplicates(none(spark)).count() == 0
 
 
+def test_loose_chains_do_not_grow_together(spark):
+    """Neighbours share a half of their shingles, so that they meet in buckets; only the pairs planted are moved and linked."""
+    rng = np.random.default_rng(21)
+    words_of = [[f"c{k}w{rng.integers(10**6)}" for _ in range(20)] for k in range(1200)]
+    texts = {k: " ".join(words_of[k] + words_of[(k + 1) % 1200] + words_of[(k + 2) % 1200]) for k in range(1200)}
+    for k in range(0, 1200, 100):
+        texts[5000 + k] = texts[k] + " end"
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    seen = minhash.sketches(df, "doc_id", "text", 3, 85).where("key IS NOT NULL").select("id", "n", "buckets", "signature")
+    placed = seen.select("id", F.explode("buckets").alias("bucket"))
+    met = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").join(placed, "bucket").select("id").distinct().count()
+    edges = {tuple(sorted(r)) for r in minhash.resembling(seen, 85).collect()}
+    assert met > 600 and edges == {(k, 5000 + k) for k in range(0, 1200, 100)}
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, width=3, percent=85).collect()}
+    assert found == {k: k - 5000 if k >= 5000 else k for k in texts}
+
+
+def test_alike_spans_all_pairs():
+    rng = np.random.default_rng(22)
+    base = rng.integers(0, 256, (6, 192), dtype=np.uint8)
+    grid = np.repeat(base, 10, axis=0)
+    for row in grid:
+        at = rng.choice(192, 25, replace=False)
+        row[at] = rng.integers(0, 256, 25, dtype=np.uint8)
+    for sides in ([0] * 60, [i % 2 for i in range(60)]):
+        edges = minhash.alike(list(range(60)), sides, [100] * 60, [x.tobytes() for x in grid], 130, 85)
+        root = list(range(60))
+        for a, b in edges:
+            assert a // 10 == b // 10 and (sides[a] != sides[b] or not any(sides))
+            root = [root[a] if x == root[b] else x for x in root]
+        assert all(root[i] == root[i - i % 10] for i in range(60)) and len(edges) == 54
+    assert not minhash.alike([1, 2], [0, 0], [100, 84], [grid[0].tobytes()] * 2, 130, 85)
+
+
 def test_min_max_signatures_estimate_without_bias():
     rng = np.random.default_rng(5)
     a, b = minhash.permutations(minhash.PERMUTATIONS)

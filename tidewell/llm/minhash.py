@@ -2,16 +2,19 @@
 
 Under each permutation of the hashed shingles both the least and the greatest value are kept: a signature of 2 * PERMUTATIONS
 values for PERMUTATIONS evaluations a shingle, each value agreeing with probability J, with less variance than as many minima. The
-values are banded; at J = 0.85 a pair that the bands miss has a chance of about 3 in 10 million. Everything that shares a bucket
-with a third document ends up in one coarse group, and inside coarse groups pairs are confirmed on their full sets, so that links come from exact Jaccard
-similarity alone.
+values are banded; at J = 0.85 a pair that the bands miss has a chance of about 3 in 10 million. What shares a bucket is compared by the whole signature, a byte of each value, and belongs to
+one coarse group if the estimate of J comes within DEVIATIONS of its error to the threshold, so that chains of loosely similar texts, which meet in buckets by chance, do not grow together. Inside
+coarse groups pairs are confirmed on their full sets, so that links come from exact Jaccard similarity alone.
 
 Texts with equal sets are one class with one representative, so exact copies cost nothing further. A coarse group that one task
 can hold is one block; a larger one is cut into cells by set size (sets whose sizes differ by more than the threshold
 allows cannot link) and hash, and each pair of cells that may hold links is a block. A block yields a spanning forest of its links,
 never all pairs. No bucket, group or partner count is capped.
 
-Null, empty and blank texts have empty sets and link with nothing. Rows with one id are one document and share its result. A row without an
+A bucket of any size is cut into cells and pairs of cells likewise; buckets with the same members are looked at once. Within a task a signature is compared only
+with those that are not yet in its group, so that a large group of near copies costs little more than its size.
+
+A very long text is one set in a task's memory, 8 bytes a shingle. Null, empty and blank texts have empty sets and link with nothing. Rows with one id are one document and share its result. A row without an
 id gets its class's component. Only the id and the text are read, so that other columns cannot clash. An empty table gives
 an empty result.
 """
@@ -37,6 +40,8 @@ ROWS = 256
 CACHED = 200_000
 #: Documents and shingles in a cell of a block, at most, about.
 CELL, CELL_SHINGLES = 512, 1_000_000
+#: Signatures in a cell of a bucket, at most, about; how many standard errors an estimate may lie below the threshold.
+SIGNATURES, DEVIATIONS = 4096, 6
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 S = np.uint64(32)
 
@@ -88,6 +93,10 @@ def signature(x: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 1024) ->
     return np.concatenate([low, high])
 
 
+def spread(values: np.ndarray | None) -> np.ndarray | None:
+    return None if values is None else mixed(values)
+
+
 def bands(values: np.ndarray) -> np.ndarray:
     grid = values.reshape(BANDS, BAND)
     out = np.arange(1, BANDS + 1, dtype=np.uint64) * M1
@@ -102,7 +111,7 @@ def least_size(percent: int) -> int:
 
 
 def sketches(docs: DataFrame, id_column: str, text_column: str, width: int, percent: int) -> DataFrame:
-    """id, n (set size), key (a digest of the set; null if empty) and buckets of every row."""
+    """id, n (set size), key (a digest of the set; null if empty), buckets and signature (a byte of each value) of every row."""
     least = least_size(percent)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,11 +122,13 @@ def sketches(docs: DataFrame, id_column: str, text_column: str, width: int, perc
                 batch = whole.slice(at, ROWS)
                 sets = [shingles(x, width, words) for x in batch.column(1).to_pylist()]
                 keys = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
-                found = [bands(signature(x, a, b)).tolist() if len(x) >= least else None for x in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["id", "n", "key", "buckets"])
+                values = [signature(x, a, b) if len(x) >= least else None for x in sets]
+                found = [None if v is None else bands(v).tolist() for v in values]
+                short = [None if v is None else (v >> np.uint64(56)).astype(np.uint8).tobytes() for v in map(spread, values)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(short, pa.binary())], ["id", "n", "key", "buckets", "signature"])
 
     rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").alias("text"))
-    return rows.mapInArrow(sketch, "id long, n long, key binary, buckets array<bigint>")
+    return rows.mapInArrow(sketch, "id long, n long, key binary, buckets array<bigint>, signature binary")
 
 
 def linked(percent: int, common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -183,6 +194,62 @@ def block_links(ids: list[int], sides: list[int], sets: list[np.ndarray], percen
     return out
 
 
+def resembling(classes: DataFrame, percent: int) -> DataFrame:
+    """a, b: a spanning forest, in each bucket, of the pairs whose estimate is not far below the threshold.
+
+    classes: id, n, buckets, signature of texts with different sets."""
+    j = percent / 100
+    least = int(np.ceil(2 * PERMUTATIONS * (j - DEVIATIONS * (j * (1 - j) / (2 * PERMUTATIONS)) ** 0.5)))
+    placed = classes.select("id", F.explode("buckets").alias("bucket"))
+    h = F.xxhash64("id")
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("many"), F.min("id").alias("first"), F.max("id").alias("last"), F.bit_xor(h).alias("x"), F.sum(F.shiftrightunsigned(h, 24)).alias("s")).where("first < last")
+    shared = shared.groupBy("many", "first", "last", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("many") / SIGNATURES).cast("int").alias("cells"))
+    rows = placed.join(shared, "bucket").join(classes.select("id", "n", "signature"), "id")
+    rows = rows.withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells").cast("long")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    key = ["bucket", "lo", "hi"]
+    rows = rows.select("bucket", F.least("cell", "other").alias("lo"), F.greatest("cell", "other").alias("hi"), (F.col("cell") > F.col("other")).cast("int").alias("side"), "id", "n", "signature")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, ids, sides, sizes, signatures = None, [], [], [], []
+
+        def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for whole in batches:
+            part, found = whole.to_pydict(), []
+            for i, block in enumerate(zip(part["bucket"], part["lo"], part["hi"], strict=True)):
+                if block != here:
+                    found += alike(ids, sides, sizes, signatures, least, percent)
+                    here, ids, sides, sizes, signatures = block, [], [], [], []
+                ids.append(part["id"][i])
+                sides.append(part["side"][i])
+                sizes.append(part["n"][i])
+                signatures.append(part["signature"][i])
+            yield out(found)
+        yield out(alike(ids, sides, sizes, signatures, least, percent))
+
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "a long, b long")
+
+
+def alike(ids: list[int], sides: list[int], sizes: list[int], signatures: list[bytes], least: int, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that agree in at least so many bytes and may link by their sizes; sides as in block_links()."""
+    if len(ids) < 2:
+        return []
+    grid, n, side, group = np.frombuffer(b"".join(signatures), np.uint8).reshape(len(ids), -1), np.array(sizes, np.int64), np.array(sides), np.arange(len(ids))
+    across, out = any(sides), []
+    for at in np.flatnonzero(side == 0).tolist():
+        may = (group != group[at]) & (100 * np.minimum(n, n[at]) >= percent * np.maximum(n, n[at]))
+        if across:
+            may &= side == 1
+        rest = np.flatnonzero(may)
+        near = rest[(grid[rest] == grid[at]).sum(1) >= least]
+        for g in np.unique(group[near]).tolist():
+            out.append((ids[at], ids[int(near[group[near] == g][0])]))
+            group[group == g] = group[at]
+    return out
+
+
 def blocks(members: DataFrame, percent: int) -> DataFrame:
     """members (id, n, g: coarse group) with block and side, a row for each block that the member is in."""
     sums = members.groupBy("g").agg(F.count("*").alias("many"), F.sum("n").alias("total"))
@@ -228,11 +295,13 @@ def links(docs: DataFrame, members: DataFrame, id_column: str, text_column: str,
                     if key != here:
                         found += block_links(ids, sides, sets, percent)
                         here, ids, sides, sets = key, [], [], []
-                    if ids and ids[-1] == part["id"][i]:
-                        continue  # the id's other rows
+                    x = shingles(part["text"][i], width, words)
+                    if ids and ids[-1] == part["id"][i]:  # of an id's rows that with the largest set counts
+                        sets[-1] = max(sets[-1], x, key=lambda y: (len(y), y.tobytes()))
+                        continue
                     ids.append(part["id"][i])
                     sides.append(part["side"][i])
-                    sets.append(shingles(part["text"][i], width, words))
+                    sets.append(x)
             yield out(found)
         yield out(block_links(ids, sides, sets, percent))
 
@@ -246,10 +315,10 @@ def links(docs: DataFrame, members: DataFrame, id_column: str, text_column: str,
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, component_id and kept of every row of docs."""
     seen = written(sketches(docs, id_column, text_column, width, percent), "sketches")
-    classes = written(seen.where("key IS NOT NULL").groupBy("key").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "n", "buckets"))).alias("x")).select("key", "x.*"), "classes")
-    placed = classes.where("id IS NOT NULL").select("id", "n", F.explode("buckets").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("bucket", "first")
-    coarse = components(placed.join(shared, "bucket").select(F.col("id").alias("a"), F.col("first").alias("b")), "coarse")
+    classes = written(seen.where("key IS NOT NULL").groupBy("key").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "n", "buckets", "signature"))).alias("x")).select("key", "x.*"), "classes")
+    own = classes.where("id IS NOT NULL AND buckets IS NOT NULL")
+    own = own.groupBy("id").agg(F.max(F.struct("n", "key", "buckets", "signature")).alias("x")).select("id", "x.n", "x.buckets", "x.signature")
+    coarse = components(written(resembling(own, percent), "alike"), "coarse")
     members = classes.where("id IS NOT NULL").groupBy("id").agg(F.max("n").alias("n")).join(coarse.select(F.col("node").alias("id"), F.col("component").alias("g")), "id")
     members = written(members, "members")
     found = components(written(links(docs, members, id_column, text_column, width, percent), "links"), "duplicates")
