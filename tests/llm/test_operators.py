@@ -78,6 +78,25 @@ def test_quality_tells_junk(spark):
     assert not kept[100] and not kept[101]
 
 
+def test_quality_limits_follow_the_length(spark):
+    """Short junk is found among documents of its length, longer junk by what shorter ones tell; without a reference nothing is judged."""
+    rng = np.random.default_rng(11)
+    common, rare = "the of and to in is it that for on by as was are with".split(), [f"stone{i}" for i in range(400)]
+    text = lambda n, share: " ".join(rng.choice(common if rng.random() < share else rare) for _ in range(n))
+    good = [(i, text(int(rng.integers(62, 120)), 0.4), "en") for i in range(120)]
+    junk = [(1000 + i, text(70, 0.0), "en") for i in range(5)] + [(1100 + i, " ".join(f"${i}%{k}$#{k}" for k in range(60)), "en") for i in range(5)] + [(1200, text(4000, 0.0), "en")]
+    spared = [(2000, text(70, 0.0), "fi"), (2001, text(70, 0.0), None), (2002, text(20, 0.1), "en"), (2003, text(3000, 0.4), "en")]
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality(spark.createDataFrame(good + junk + spared, "doc_id long, text string, lang string")).collect()}
+    assert all(kept[i] for i, _, _ in good + spared) and not any(kept[i] for i, _, _ in junk)
+
+
+def test_quality_finds_labelled_junk(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    found = quality.quality(docs).where("NOT base_failed").join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    kept = {r["quality"]: r["kept"] for r in found}
+    assert kept[1] >= 0.995 and kept[0] <= 0.3
+
+
 def test_licences(spark):
     rows = [(k, t) for k, ts in enumerate(licences.TEMPLATES.values()) for t in ts]
     found = licences.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -676,7 +695,7 @@ def test_near_vectors(spark, monkeypatch):
 
 def test_reach_is_exact_unless_queries_tell_more():
     exact = embeddings.exact_reach(0.98)
-    assert embeddings.whole_reach([], 0.98, 0.98) == exact and embeddings.whole_reach([0.01] * 100, 0.98, 0.98) == exact
+    assert embeddings.whole_reach([], 0.98, 0.98) == exact and embeddings.whole_reach([0.01] * 100, 0.98, 0.98) == exact and embeddings.whole_reach([0.01] * 58, 0.98, 0.95) == exact
     assert embeddings.whole_reach([0.01] * 200, 0.98, 0.98) == pytest.approx(0.015)
     assert embeddings.whole_reach([0.19] * 200, 0.98, 0.98) == exact and embeddings.whole_reach([0.01] * 9999, 0.98, 1.0) == exact
 

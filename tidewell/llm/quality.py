@@ -2,12 +2,16 @@
 
 Two histograms of each document, of character classes and of its language's common words (with one cell for all other
 words), are compared with the language's own, which are summed over all documents of the table that pass the base rules.
-The measure is the Jensen-Shannon distance (square root of the divergence in bits, so between 0 and 1). Documents too short
-for a histogram to mean anything are not judged by it.
+The measure is the Jensen-Shannon distance (square root of the divergence in bits, so between 0 and 1).
 
-Null and empty texts have no words and fail the base rules. A language that is null or not among LANGUAGES is
-compared with every reference and gets its smallest distances; a table whose documents all fail has no references, and then nothing
-is judged by divergence. Repeated rows are judged alike; an empty table gives an empty result; only the id, the text and the
+What is too far follows from all documents that pass the base rules, by their length: lengths are binned (two bins an octave, from LEAST_WORDS on), and of each bin with its two neighbours
+the median and the lowest tenth are taken, of word distances times the root of the length, as chance makes them fall with it. A word histogram is too far if it lies SPREADS times as far above the median as the lowest tenth lies below
+it, or, from WORD_WORDS on, if it is nearly as far as that of a text with no common word at all; a class histogram if it is some times the median (MOST_CLASS, and more for short texts).
+Where fewer than LEAST_KNOWN documents are of about its length, the next shorter length that is known counts, as if the document were of that length, so that it is rather spared; else the next longer one. In a language without
+reference, or where no length is known, a document is not judged by divergence.
+
+Null and empty texts have no words and fail the base rules. A language that is null or not among LANGUAGES has no
+reference; a table whose documents all fail has none at all. Very long texts are measured whole, in arrays of a few numbers a word. Repeated rows are judged alike; an empty table gives an empty result; only the id, the text and the
 language are read, so that other columns cannot clash.
 """
 
@@ -19,6 +23,7 @@ from functools import lru_cache
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewell.llm.common import SPACE, table, words, written
 
@@ -33,11 +38,13 @@ LANGUAGES = {
 CLASSES = ("a-z", SPACE, "A-Z", r".,;:!?'\"()\-", "#*$%&|<>", "0-9", r"\x{80}-\x{10FFFF}")
 WINDOW = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
-#: Documents with fewer words are not judged by the class or the word histogram.
-CLASS_WORDS, WORD_WORDS = 80, 120
-MOST_CLASS_DISTANCE = 0.29
-#: The limit for words falls with their number, as the part of the distance that chance makes does: the first plus the second by its square root.
-MOST_WORD_DISTANCE, CHANCE = 0.24, 0.9
+#: Of a length, at least so many documents have to be known; bins of lengths go up to MOST_BIN (2 ** 40 times LEAST_WORDS).
+LEAST_KNOWN, MOST_BIN = 20, 80
+SPREADS, LEAST_SPREAD = 5, 0.1
+#: From so many words on, this part of the distance of a text without common words is too far.
+WORD_WORDS, MOST_WORD = 60, 0.96
+#: Times the median: the first plus the second by the number of words.
+MOST_CLASS, SHORT_CLASS = 2.5, 20
 
 
 def _let(value: Column, body) -> Column:
@@ -83,7 +90,7 @@ def _common() -> tuple[int, str, str, dict[str, str]]:
 def base_measures(docs: DataFrame, id_column: str | None = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the two histograms, as arrays of long, of every row.
 
-    common: counts of the common words of the row's language, or of each of LANGUAGES if it is none of them. Without id_column the id
+    common: counts of the common words of the row's language, none if it is not among LANGUAGES. Without id_column the id
     is the whole row, as a struct."""
     text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
@@ -103,7 +110,7 @@ def base_measures(docs: DataFrame, id_column: str | None = "doc_id", text_column
         F.when(n > WINDOW, window).otherwise(F.array().cast("array<bigint>")).alias("h"), F.array_join(common, "").alias("common"),
     )
     repeated = F.when(F.size(F.array_distinct("h")) == F.size("h"), F.lit(0).cast("long")).otherwise(_repeated(F.col("h")))
-    letters = F.lit("".join(mine.values()))
+    letters = F.lit(None).cast("string")
     for lang, own in mine.items():
         letters = F.when(F.col("lang") == lang, F.lit(own)).otherwise(letters)
     counts = F.transform(F.split(letters, ""), lambda x: (F.length("common") - F.length(F.replace(F.col("common"), x))).cast("long"))
@@ -118,11 +125,13 @@ def base_failed() -> Column:
 
 
 def references(measured: DataFrame) -> DataFrame:
-    """For each of LANGUAGES with documents that pass the base rules: its histograms as shares. At most as many rows as LANGUAGES."""
+    """For each of LANGUAGES with documents that pass the base rules: its histograms as shares and the distance of a text without common words. At most as many rows as LANGUAGES."""
     known = measured.where(F.col("lang").isin(*LANGUAGES) & ~base_failed())
     cells = len(next(iter(LANGUAGES.values())))
     sums = known.groupBy("lang").agg(F.array(*[F.sum(F.get("classes", F.lit(i))) for i in range(len(CLASSES) + 1)]).alias("classes"), F.array(*[F.sum(F.get("common", F.lit(i))) for i in range(cells)]).alias("common"), F.sum("n_words").alias("n"))
-    return sums.select("lang", _shares(F.col("classes")).alias("ref_classes"), _shares(_with_rest(F.col("common"), F.col("n"))).alias("ref_common"))
+    refs = sums.select("lang", _shares(F.col("classes")).alias("ref_classes"), _shares(_with_rest(F.col("common"), F.col("n"))).alias("ref_common"))
+    bare = F.array(*[F.lit(0.0)] * cells, F.lit(1.0))
+    return refs.withColumn("bare", distance(bare, F.col("ref_common")))
 
 
 def _total(counts: Column) -> Column:
@@ -147,26 +156,43 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), _entropy(middle) - (_entropy(p) + _entropy(q)) / 2))
 
 
+def _bin() -> Column:
+    return F.floor(2 * F.log2(F.col("n_words") / LEAST_WORDS)).cast("int")
+
+
+def limits(far: DataFrame) -> DataFrame:
+    """bin, source (the bin that counts for it), and of that and its neighbours word_median, word_tenth and class_median, from whole numbers of hundredths and thousandths; one row for each half octave of lengths.
+
+    far: n_words, class_distance and word_distance of documents that pass the base rules."""
+    cells = far.where("word_distance IS NOT NULL").select(_bin().alias("b"), F.inline(F.array(
+        F.struct(F.lit("word").alias("what"), F.floor(F.col("word_distance") * F.sqrt("n_words") * 100).alias("cell")), F.struct(F.lit("class").alias("what"), F.floor(F.col("class_distance") * 1000).alias("cell")),
+    ))).groupBy("b", "what", "cell").agg(F.count("*").alias("n"))
+    cells = cells.select(F.explode(F.sequence(F.col("b") - 1, F.col("b") + 1)).alias("bin"), "what", "cell", "n").groupBy("bin", "what", "cell").agg(F.sum("n").alias("n"))
+    own = Window.partitionBy("bin", "what")
+    cells = cells.select("*", F.sum("n").over(own.orderBy("cell")).alias("upto"), F.sum("n").over(own).alias("known"))
+    at = lambda what, part: F.min(F.when((F.col("what") == what) & (F.col("upto") * part >= F.col("known")), F.col("cell")))
+    found = cells.groupBy("bin").agg(F.max("known").alias("known"), (at("word", 2) / 100).alias("word_median"), (at("word", 10) / 100).alias("word_tenth"), (at("class", 2) / 1000).alias("class_median"))
+    found = found.where(F.col("known") >= LEAST_KNOWN).select("bin", F.struct(F.col("bin").alias("source"), "word_median", "word_tenth", "class_median").alias("x"))
+    every = cells.sparkSession.range(MOST_BIN + 1).select(F.col("id").cast("int").alias("bin")).join(found, "bin", "left")
+    shorter, longer = (Window.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col("bin"), F.col("bin").desc()))  # MOST_BIN + 1 rows
+    return every.select("bin", F.coalesce(F.last("x", True).over(shorter), F.last("x", True).over(longer)).alias("x")).where("x IS NOT NULL").select("bin", "x.*")
+
+
 def judged(measured: DataFrame) -> DataFrame:
-    """measured with class_distance, word_distance (null where not judged), base_failed and kept."""
+    """measured with class_distance, word_distance (null without reference), base_failed and kept."""
     refs = references(measured)
-    names, cells = list(LANGUAGES), len(next(iter(LANGUAGES.values())))
-    known = F.coalesce(F.col("lang").isin(*names), F.lit(False))
-    mine = measured.where(known).join(F.broadcast(refs), "lang", "left")
-    mine = mine.select("*", distance(_shares(F.col("classes")), F.col("ref_classes")).alias("by_class"), distance(_shares(_with_rest(F.col("common"), F.col("n_words"))), F.col("ref_common")).alias("by_word"))
-    every = refs.agg(F.collect_list(F.struct("lang", "ref_classes", "ref_common")).alias("refs"))  # at most as many as LANGUAGES
-    others = measured.where(~known).join(F.broadcast(every))
-    at = lambda r: (F.array_position(F.array(*[F.lit(x) for x in names]), r["lang"]).cast("int") - 1) * cells
-    of = lambda r: _shares(_with_rest(F.slice("common", at(r) + 1, F.lit(cells)), F.col("n_words")))
-    others = others.select("*", F.array_min(F.transform("refs", lambda r: distance(_shares(F.col("classes")), r["ref_classes"]))).alias("by_class"), F.array_min(F.transform("refs", lambda r: distance(of(r), r["ref_common"]))).alias("by_word"))
-    columns = ["id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "by_class", "by_word"]
-    rows = mine.select(columns).unionByName(others.select(columns))
-    rows = rows.select(
-        *columns[:-2], base_failed().alias("base_failed"),
-        F.when(F.col("n_words") >= CLASS_WORDS, F.col("by_class")).alias("class_distance"), F.when(F.col("n_words") >= WORD_WORDS, F.col("by_word")).alias("word_distance"),
+    rows = measured.join(F.broadcast(refs), "lang", "left").select(
+        "id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), "bare",
+        distance(_shares(F.col("classes")), F.col("ref_classes")).alias("class_distance"), distance(_shares(_with_rest(F.col("common"), F.col("n_words"))), F.col("ref_common")).alias("word_distance"),
     )
-    far = (F.coalesce("class_distance", F.lit(0.0)) > MOST_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MOST_WORD_DISTANCE + CHANCE / F.sqrt(F.greatest(F.col("n_words"), F.lit(1))))
-    return rows.withColumn("kept", ~F.col("base_failed") & ~far)
+    usual = written(limits(rows.where("NOT base_failed")), "limits")
+    rows = rows.withColumn("bin", F.when(~F.col("base_failed"), _bin())).join(F.broadcast(usual), "bin", "left")
+    n = F.least(F.col("n_words").cast("double"), LEAST_WORDS * F.pow(F.lit(2.0), (F.col("source") + 1) / 2))
+    n = F.when(F.col("source") < F.col("bin"), n).otherwise(F.col("n_words"))
+    spread = F.greatest(F.col("word_median") - F.col("word_tenth"), LEAST_SPREAD * F.col("word_median"))
+    far = (F.col("word_distance") * F.sqrt(n) > F.col("word_median") + SPREADS * spread) | ((n >= WORD_WORDS) & (F.col("word_distance") > MOST_WORD * F.col("bare")))
+    far = F.col("source").isNotNull() & (far | (F.col("class_distance") > F.col("class_median") * (MOST_CLASS + SHORT_CLASS / n)))
+    return rows.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).drop("bare", *usual.columns)
 
 
 def quality(docs: DataFrame, id_column: str | None = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
@@ -206,13 +232,20 @@ b AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED
 r AS (
   SELECT lang, [{", ".join(f"sum(c[{i + 1}])" for i in range(len(CLASSES) + 1))}] AS c, [{", ".join(f"sum(k[{i + 1}])" for i in range(cells + 1))}] AS k
   FROM b WHERE NOT base_failed AND lang IN ({", ".join(quoted(x) for x in LANGUAGES)}) GROUP BY lang),
-q AS (SELECT lang AS rl, [x / list_sum(c) FOR x IN c] AS qc, [x / list_sum(k) FOR x IN k] AS qk FROM r),
-p AS (SELECT b.*, qc, qk, [x / list_sum(c) FOR x IN c] AS pc, [x / list_sum(k) FOR x IN k] AS pk FROM b LEFT JOIN q ON rl = lang),
-e AS (SELECT *, CASE WHEN n_words >= {CLASS_WORDS} THEN {far("pc", "qc")} END AS dc, CASE WHEN n_words >= {WORD_WORDS} THEN {far("pk", "qk")} END AS dk FROM p)
+q AS (SELECT rl, qc, qk, {far("z", "qk")} AS bare FROM (SELECT lang AS rl, [x / list_sum(c) FOR x IN c] AS qc, [x / list_sum(k) FOR x IN k] AS qk, [CAST(i = {cells + 1} AS DOUBLE) FOR i IN range(1, {cells + 2})] AS z FROM r)),
+p AS (SELECT b.*, qc, qk, bare, [x / list_sum(c) FOR x IN c] AS pc, [x / list_sum(k) FOR x IN k] AS pk FROM b LEFT JOIN q ON rl = lang),
+e AS (SELECT *, CASE WHEN qc IS NOT NULL THEN {far("pc", "qc")} END AS dc, CASE WHEN qk IS NOT NULL THEN {far("pk", "qk")} END AS dk, CASE WHEN NOT base_failed THEN CAST(floor(2 * log2(n_words / {LEAST_WORDS})) AS BIGINT) END AS bin FROM p),
+h AS (SELECT bin + unnest([-1, 0, 1]) AS bin, floor(dk * sqrt(n_words) * 100) AS w, floor(dc * 1000) AS c FROM e WHERE NOT base_failed AND dk IS NOT NULL),
+l AS (SELECT bin, struct_pack(source := bin, wm := quantile_disc(w, 0.5) / 100, wt := quantile_disc(w, 0.1) / 100, cm := quantile_disc(c, 0.5) / 1000) AS x FROM h GROUP BY bin HAVING count(*) >= {LEAST_KNOWN}),
+g AS (
+  SELECT bin, coalesce(last_value(x IGNORE NULLS) OVER (ORDER BY bin ROWS UNBOUNDED PRECEDING), last_value(x IGNORE NULLS) OVER (ORDER BY bin DESC ROWS UNBOUNDED PRECEDING)) AS x
+  FROM (SELECT unnest(range(0, {MOST_BIN + 1})) AS bin) AS every LEFT JOIN l USING (bin)),
+o AS (SELECT e.*, x.wm AS wm, x.wt AS wt, x.cm AS cm, CASE WHEN x.source < e.bin THEN least(CAST(n_words AS DOUBLE), {LEAST_WORDS} * pow(2.0, (x.source + 1) / 2)) ELSE n_words END AS n FROM e LEFT JOIN g ON g.bin = e.bin)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT coalesce(dc > {MOST_CLASS_DISTANCE}, FALSE) AND NOT coalesce(dk > {MOST_WORD_DISTANCE} + {CHANCE} / sqrt(greatest(n_words, 1)), FALSE) AS kept
-FROM e"""
+       NOT base_failed AND NOT coalesce(dk * sqrt(n) > wm + {SPREADS} * greatest(wm - wt, {LEAST_SPREAD}::DOUBLE * wm) OR n >= {WORD_WORDS} AND dk > {MOST_WORD}::DOUBLE * bare
+                                        OR dc > cm * ({MOST_CLASS}::DOUBLE + {SHORT_CLASS}::DOUBLE / n), FALSE) AS kept
+FROM o"""
+
 
 
-#: For tables whose languages are all among LANGUAGES.
 SQL = _duck()
