@@ -425,6 +425,11 @@ def test_near_duplicates(spark, monkeypatch, cell):
     assert minhash.near_duplicates(none(spark)).count() == 0
 
 
+def test_banding():
+    assert minhash.banding(85) == (32, 6) and minhash.banding(80) == (38, 5)
+    assert minhash.banding(100)[1] == 192 and minhash.banding(1)[1] == 1
+
+
 def test_loose_chains_do_not_grow_together(spark):
     """Neighbours share a half of their shingles, so that they meet in buckets; only the pairs planted are moved and linked."""
     rng = np.random.default_rng(21)
@@ -565,25 +570,41 @@ def test_mixing(spark, docs):
     assert mixing.mixed(none(spark)).count() == 0
 
 
-def mixed_by_hand(rows, block, seed):
-    """What is taken of each (id, source, size), drawing by drawing."""
+def mixed_draws(rows, block, seed):
+    """What is taken of each (id, source, size), drawing by drawing: id, first and end word of each part without a gap in a round."""
     import math
 
     names = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, (s or "").encode()))
     sizes = [sum(n for _, s, n in rows if s == name) for name in names]
-    out = Counter()
+    out = []
     for name, size, target in zip(names, sizes, mixing.targets(sizes), strict=True):
         own = sorted((hashlib.md5(f"{seed}-{'' if i is None else i}".encode()).hexdigest(), n, i) for i, s, n in rows if s == name)
-        line = [i for _, n, i in own for _ in range(n)]
+        line = [(i, k) for _, n, i in own for k in range(n)]
         n = max(1, -(-size // block))
         step, first = mixing.permuted(n, seed, "" if name is None else "s" + name)
         assert sorted((k * step + first) % n for k in range(n)) == list(range(n))
         left = math.floor(target + 0.5)
         while left > 0:
+            drawn = set()
             for k in sorted(range(n), key=lambda k: (k * step + first) % n):
-                part = line[k * block : (k + 1) * block][:left]
-                out.update(part)
-                left -= len(part)
+                places = range(k * block, min((k + 1) * block, size))[:left]
+                drawn |= set(places)
+                left -= len(places)
+            parts = []
+            for at in sorted(drawn):
+                i, k = line[at]
+                if parts and parts[-1][0] == i and parts[-1][2] == k:
+                    parts[-1][2] += 1
+                else:
+                    parts.append([i, k, k + 1])
+            out += map(tuple, parts)
+    return out
+
+
+def mixed_by_hand(rows, block, seed):
+    out = Counter()
+    for i, first, end in mixed_draws(rows, block, seed):
+        out[i] += end - first
     return out
 
 

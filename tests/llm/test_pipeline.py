@@ -4,13 +4,11 @@ import re
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from tests.llm.test_operators import jaccard_components
+from tests.llm.test_operators import jaccard_components, mixed_draws
 from tidewell.llm import mixing, pieces, queries, quality
-from tidewell.llm.common import words
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -39,19 +37,17 @@ def test_run(spark):
     rows = {r["doc_id"]: r for r in docs.collect()}
     out = corpus_pipeline.run(spark, SF).collect()
     kept = {r["doc_id"] for r in quality.quality(docs).where("kept").collect()}
-    groups = jaccard_components({i: rows[i]["text"] for i in kept}, 3, 85)
+    groups = jaccard_components({i: rows[i]["text"] for i in kept}, 5, 80)
     firsts = sorted(i for i in kept if groups[i][1] == i)
     left = spark.createDataFrame([rows[i] for i in firsts], docs.schema)
-    plan = mixing.draws(left.withColumn("n", F.size(words(F.col("text"))).cast("long")), F.col("source"), F.col("n"), F.col("doc_id"))
+    takes = mixed_draws([(i, rows[i]["source"], len(WORD.findall(rows[i]["text"]))) for i in firsts], mixing.BLOCK_WORDS, mixing.SEED)
     machine = pieces.transducer(pieces.MODEL)
     expected = []
-    for r in plan.select("_row.doc_id", "_size", mixing.taken().alias("taken")).collect():
-        text, n = rows[r["doc_id"]]["text"], r["taken"]
-        while n > 0:
-            take = min(n, r["_size"])
-            end = [m.end() for m in WORD.finditer(text)][take - 1] if take < r["_size"] else len(text)
-            expected.append((r["doc_id"], machine.encode(text[:end])))
-            n -= take
+    for i, first, end in takes:
+        text = rows[i]["text"]
+        spans = [m.span() for m in WORD.finditer(text)]
+        whole = first == 0 and end == len(spans)
+        expected.append((i, machine.encode(text if whole else text[0 if first == 0 else spans[first][0] : spans[end - 1][1]])))
     assert sorted((r["doc_id"], r["ids"]) for r in out) == sorted(expected)
     assert all(r["round_trip"] for r in out)
 

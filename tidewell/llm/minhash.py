@@ -2,7 +2,7 @@
 
 Under each permutation of the hashed shingles both the least and the greatest value are kept: a signature of 2 * PERMUTATIONS
 values for PERMUTATIONS evaluations a shingle, each value agreeing with probability J, with less variance than as many minima. The
-values are banded; at J = 0.85 a pair that the bands miss has a chance of about 3 in 10 million. What shares a bucket is compared by the whole signature, a byte of each value, and belongs to
+values are banded (32 bands of 6 for J = 0.85, 38 of 5 for 0.8), so that a pair at the threshold is missed with a chance of about 3 in 10 million. What shares a bucket is compared by the whole signature, a byte of each value, and belongs to
 one coarse group if the estimate of J comes within DEVIATIONS of its error to the threshold, so that chains of loosely similar texts, which meet in buckets by chance, do not grow together. Inside
 coarse groups pairs are confirmed on their full sets, so that links come from exact Jaccard similarity alone.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import perhaps_in, table, written
 from tidewell.llm.components import components
 
-PERMUTATIONS, BANDS, BAND = 96, 32, 6
+PERMUTATIONS, MOST_MISSED = 96, 1e-6
 #: For contracts that state none: five words and 0.8.
 SHINGLE, PERCENT = 5, 80
 ROWS = 256
@@ -97,10 +97,18 @@ def spread(values: np.ndarray | None) -> np.ndarray | None:
     return None if values is None else mixed(values)
 
 
-def bands(values: np.ndarray) -> np.ndarray:
-    grid = values.reshape(BANDS, BAND)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64) * M1
-    for k in range(BAND):
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and values in each: as long as they may be for a pair at the threshold to be missed with a chance of MOST_MISSED at most."""
+    j = percent / 100
+    missed = lambda size: (1 - j**size) ** (2 * PERMUTATIONS // size)
+    size = max((k for k in range(1, 2 * PERMUTATIONS + 1) if missed(k) <= MOST_MISSED), default=1)
+    return 2 * PERMUTATIONS // size, size
+
+
+def bands(values: np.ndarray, number: int, size: int) -> np.ndarray:
+    grid = values[: number * size].reshape(number, size)
+    out = np.arange(1, number + 1, dtype=np.uint64) * M1
+    for k in range(size):
         out = mixed(out * M2 + grid[:, k])
     return out.view(np.int64)
 
@@ -112,7 +120,7 @@ def least_size(percent: int) -> int:
 
 def sketches(docs: DataFrame, id_column: str, text_column: str, width: int, percent: int) -> DataFrame:
     """id, n (set size), key (a digest of the set; null if empty), buckets and signature (a byte of each value) of every row."""
-    least = least_size(percent)
+    least, (number, size) = least_size(percent), banding(percent)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -123,7 +131,7 @@ def sketches(docs: DataFrame, id_column: str, text_column: str, width: int, perc
                 sets = [shingles(x, width, words) for x in batch.column(1).to_pylist()]
                 keys = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
                 values = [signature(x, a, b) if len(x) >= least else None for x in sets]
-                found = [None if v is None else bands(v).tolist() for v in values]
+                found = [None if v is None else bands(v, number, size).tolist() for v in values]
                 short = [None if v is None else (v >> np.uint64(56)).astype(np.uint8).tobytes() for v in map(spread, values)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(short, pa.binary())], ["id", "n", "key", "buckets", "signature"])
 
