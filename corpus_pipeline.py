@@ -19,11 +19,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; three words and 0.85, as in the query of the operator.
+    """One document of each group of near-duplicates, by five words and 0.8.
 
     Rows with one id are one document, of which one row stays. Texts that a filter of the ids in question lets through at once are not
     moved; the rest are joined with those ids."""
-    found = minhash.near_duplicates(docs, width=3, percent=85)
+    found = minhash.near_duplicates(docs)
     ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("many"), F.bool_and("kept").alias("kept"))
     ids = written(ids.where("NOT kept OR many > 1"), "in-question")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
@@ -34,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of docs: a row for each round that takes of a document, with the words it takes."""
+    """The mix of docs, by shard and in its local order: a row for each part of a document that a round takes without a gap."""
     return mixing.mixed(docs)
 
 
