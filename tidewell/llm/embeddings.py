@@ -34,7 +34,7 @@ from tidewell.llm.common import table, written
 from tidewell.llm.components import components
 
 LEAST_COSINE = 0.98
-TARGET_RECALL, SURE, MARGIN, QUERIES = 0.98, 0.95, 1.5, 512
+TARGET_RECALL, SURE, MARGIN, QUERIES = 0.95, 0.95, 1.5, 4096
 SAMPLE, SAMPLE_BYTES, CHUNK, PER_CELL = 20_000, 128 << 20, 1024, 16
 ROWS = 1024
 
@@ -49,6 +49,13 @@ def _unit(values: list | None) -> np.ndarray | None:
     return x / np.sqrt(x @ x)
 
 
+def _units(values: list[bytes], kind: str) -> np.ndarray:
+    """Unit vectors in double precision from vectors as the table has them."""
+    x = np.frombuffer(b"".join(values), kind).astype(np.float64).reshape(len(values), -1)
+    x /= np.abs(x).max(1)[:, None]
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
 def _digests(x: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(row.tobytes()) for row in x], np.uint64)
 
@@ -136,7 +143,7 @@ def fitted(sample: np.ndarray, k: int, least: float = LEAST_COSINE) -> Grid:
     return Grid(_centres(sample[:, :cut], k, rng), _centres(sample[:, cut:], k, rng), exact_reach(least))
 
 
-def needs(classes: DataFrame, grids: dict[int, Grid], queries: dict[int, list[tuple[str, bytes]]], least: float) -> dict[int, list[float]]:
+def needs(classes: DataFrame, grids: dict[int, Grid], queries: dict[int, list[tuple[str, bytes]]], least: float, kind: str) -> dict[int, list[float]]:
     """For each length how far each of its queries that has links has to go for all of them; every vector is compared with every query of its length and label."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,11 +156,11 @@ def needs(classes: DataFrame, grids: dict[int, Grid], queries: dict[int, list[tu
                     if dim not in queries:
                         continue
                     if dim not in held:
-                        q = np.stack([np.frombuffer(v) for _, v in queries[dim]])
+                        q = _units([v for _, v in queries[dim]], kind)
                         gaps = [grids[dim].placed(q[i : i + grids[dim].rows])[1] for i in range(0, len(q), grids[dim].rows)]
                         held[dim] = q, np.array([label for label, _ in queries[dim]]), np.vstack([a for a, _ in gaps]), np.vstack([b for _, b in gaps])
                     (q, labels, a, b), rows = held[dim], np.flatnonzero(dims == dim).tolist()
-                    x = np.stack([np.frombuffer(batch.column("vec")[i].as_py()) for i in rows])
+                    x = _units([batch.column("vec")[i].as_py() for i in rows], kind)
                     own = np.array([batch.column("label")[i].as_py() for i in rows])
                     i, j = np.nonzero((x @ q.T >= least) & (own[:, None] == labels[None]))
                     other = _digests(x)[i] != _digests(q)[j]
@@ -187,14 +194,17 @@ def sampled(classes: DataFrame, counts: DataFrame) -> dict[int, list[tuple[str,
 def near_vectors(rows: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label", least: float = LEAST_COSINE, recall: float = TARGET_RECALL) -> DataFrame:
     """id, n_links, component_id and kept of every row."""
 
+    # vectors move as the table has them, and are made units again where they are compared
+    kind = "<f4" if rows.schema[vector_column].dataType.simpleString() == "array<float>" else "<f8"
+
     def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
                 found = [_unit(x) for x in batch.column(2).to_pylist()]
                 found = [None if i is None or label is None else x for x, i, label in zip(found, batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-                vectors = [None if x is None else x.tobytes() for x in found]
-                keys = [None if x is None else xxhash.xxh3_128_digest(x) for x in vectors]
+                keys = [None if x is None else xxhash.xxh3_128_digest(x.tobytes()) for x in found]
+                vectors = [None if x is None else np.asarray(v, kind).tobytes() for x, v in zip(found, batch.column(2).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([None if x is None else len(x) for x in found], pa.int32()), pa.array(keys, pa.binary()), pa.array(vectors, pa.binary())], ["id", "label", "dim", "key", "vec"])
 
     named = rows.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{label_column}`").cast("string").alias("label"), F.col(f"`{vector_column}`").cast("array<double>").alias("v"))
@@ -204,9 +214,9 @@ def near_vectors(rows: DataFrame, id_column: str = "vec_id", vector_column: str
     k = max(1, round(((counts.agg(F.max("n")).first()[0] or 0) / PER_CELL) ** 0.5))
     samples, grids, queries = sampled(classes, counts), {}, {}
     for dim, mine in samples.items():
-        grids[dim] = fitted(np.stack([np.frombuffer(v) for _, v in mine]), k, least)
+        grids[dim] = fitted(_units([v for _, v in mine], kind), k, least)
         queries[dim] = mine[:: max(1, len(mine) * len(samples) // QUERIES)]
-    for dim, far in needs(classes, grids, queries, least).items():
+    for dim, far in needs(classes, grids, queries, least, kind).items():
         grids[dim].reach = whole_reach(far, least, recall)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +230,7 @@ def near_vectors(rows: DataFrame, id_column: str = "vec_id", vector_column: str
                     if (grid := grids.get(dim)) is None:
                         continue  # a length that the sample has not: one cell
                     at_rows = np.flatnonzero(dims == dim)
-                    x = np.stack([np.frombuffer(batch.column("vec")[i].as_py()) for i in at_rows.tolist()])
+                    x = _units([batch.column("vec")[i].as_py() for i in at_rows.tolist()], kind)
                     cells[at_rows], (a, b) = grid.placed(x)
                     for n, i in enumerate(at_rows.tolist()):
                         visits[i] = grid.visits(a[n], b[n])
@@ -254,7 +264,7 @@ def near_vectors(rows: DataFrame, id_column: str = "vec_id", vector_column: str
             for end in ends:
                 if keys[start] != here:
                     found += state.closed() if state else []
-                    here, state = keys[start], Chunk(least)
+                    here, state = keys[start], Chunk(least, kind)
                 for at in range(start, end, ROWS):
                     found += state.take(batch.slice(at, min(ROWS, end - at)).to_pydict())
                 start = end
@@ -275,13 +285,13 @@ def near_vectors(rows: DataFrame, id_column: str = "vec_id", vector_column: str
 class Chunk:
     """The residents of a part of a cell, and those that come by. Rows of links are (a, b, null), of counts (id, null, n)."""
 
-    def __init__(self, least: float) -> None:
-        self.least = least
+    def __init__(self, least: float, kind: str) -> None:
+        self.least, self.kind = least, kind
         self.ids, self.many, self.cell, self.visits, self.vecs = [], [], None, [], []
         self.matrix: np.ndarray | None = None
 
     def _close(self) -> list[tuple]:
-        self.matrix = np.stack([np.frombuffer(x) for x in self.vecs])
+        self.matrix = _units(self.vecs, self.kind)
         self.weights = np.array(self.many, np.int64)
         self.above = list(range(len(self.ids)))
         near = self.matrix @ self.matrix.T >= self.least
@@ -319,7 +329,7 @@ class Chunk:
         if self.matrix is None:
             out += self._close()
         homes = rows["home"][n:]
-        near = np.stack([np.frombuffer(x) for x in rows["vec"][n:]]) @ self.matrix.T >= self.least
+        near = _units(rows["vec"][n:], self.kind) @ self.matrix.T >= self.least
         for home in set(homes):
             # a pair of which both visit each other counts where the visitor's cell is the smaller one
             if home > self.cell:
