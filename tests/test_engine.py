@@ -13,7 +13,7 @@ H = 1447250400
 def db(spark):
     own = Engine(spark, time_precision="s", timezone="UTC")
     assert own.insert({k: v[::-1] if k != "equal ts" else v for k, v in DATA.items()}) == {"success_msg": "Successfully inserted 70 point(s)."}
-    own._points = own.points().cache()
+    own = Engine(spark, own.points().cache(), time_precision="s", timezone="UTC")
     return own
 
 

@@ -41,3 +41,32 @@ def test_store_filters(spark, tmp_path):
     found = plan(own.query('select sum(10) from "a", "c" between 120 and 160'))
     assert "GreaterThanOrEqual(ts,120), LessThan(ts,160)" in found and "In(series, [a,c])" in found and "PartitionFilters: [isnotnull(shard_start" in found
     assert own.query('select sum(10) from "a", "c" between 120 and 160').agg(F.sum("value")).first()[0] == sum(range(120, 160))
+
+
+def leaves(df):
+    return df._jdf.queryExecution().analyzed().collectLeaves().size()
+
+
+def test_inserts_do_not_grow_the_plan(spark):
+    own = Engine(spark, time_precision="s")
+    for k in range(200):
+        own.insert({f"s{k % 7}": [[k, k]]})
+    assert leaves(own.points()) <= 2
+    assert own.run("select count() from *")["s0"] == [[196, 29]]
+    own.insert_frame(spark.sql("SELECT 's0' AS series, 500 AS ts, 1.9D AS value"))
+    more = leaves(own.points())
+    own.insert_frame(spark.sql("SELECT 's0' AS series, 501 AS ts, '33 x' AS value"))
+    own.insert({"s0": [[502, "7"]]})
+    assert leaves(own.points()) <= more + 4
+    assert own.run("select * from /s0/ after 400") == {"s0": [[500, 1], [501, 33], [502, 7]]}
+
+
+def test_tags_are_semi_joins(spark):
+    own = Engine(spark, time_precision="s")
+    own.insert({f"s{k}": [[1, k]] for k in range(9)})
+    own.run("alter series /s[0-4]/ tag `low`")
+    own.run("alter series /s[3-6]/ tag `mid`")
+    assert "LeftSemi" in plan(own.query("select * from `low`"))
+    assert sorted(own.run("select * from `low` & `mid`")) == ["s3", "s4"] and sorted(own.run('select * from `mid` - `low`, "s0"')) == ["s0", "s5", "s6"]
+    own.run("alter series /s3/ untag `low`")
+    assert sorted(own.run("select * from `low`")) == ["s0", "s1", "s2", "s4"]

@@ -27,7 +27,7 @@ class Options:
     timezone: str = "NAIVE"
     drop_threshold: float = 1.0
     list_limit: int = 10_000
-    select_points_limit: int | None = None
+    select_points_limit: int | None = 1_000_000
     duration_num: int = 604_800
     duration_log: int = 86_400
     expiration_num: int = 0
@@ -115,17 +115,17 @@ def shard_catalog(points: DataFrame, options: Options, factor: int) -> DataFrame
 
 @dataclass
 class Names:
-    """Groups and tags; a group is a regular expression, a tag a set of names."""
+    """Groups and tags; a group is a regular expression, a tag a table of names (series)."""
 
     groups: dict[str, Regex] = field(default_factory=dict)
-    tags: dict[str, frozenset[str]] = field(default_factory=dict)
+    tags: dict[str, DataFrame] = field(default_factory=dict)
 
     def need_group(self, name: str) -> Regex:
         if name not in self.groups:
             raise QueryError(f"Group '{name}' does not exist.")
         return self.groups[name]
 
-    def need_tag(self, name: str) -> frozenset[str]:
+    def need_tag(self, name: str) -> DataFrame:
         if name not in self.tags:
             raise QueryError(f"Tag '{name}' does not exist.")
         return self.tags[name]

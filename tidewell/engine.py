@@ -15,27 +15,34 @@ from pyspark.sql import functions as F
 
 from tidewell import __version__
 from tidewell.catalog import ACCESS, Names, Options, Users, access_text, bits, pool_of, series_catalog, shard_catalog
-from tidewell.errors import AccessError, QueryError
+from tidewell.errors import AccessError, InsertError, QueryError
 from tidewell.functions.chain import Kinds
 from tidewell.help import topic
 from tidewell.operators import select as selects
-from tidewell.operators.series_set import anchored, condition, predicate, props_in
+from tidewell.operators.series_set import anchored, condition, predicate, props_in, refs_in
 from tidewell.plans import ast
 from tidewell.plans.fold import PRECISIONS, Clock, zone
 from tidewell.plans.parser import COLUMNS, SHOWN, parse
-from tidewell.sources.ingest import coerced, staged, types_of
+from tidewell.sources.ingest import STAGED, coerced, rows, types_of
 from tidewell.sources.points import KINDS, VALUE, empty
 from tidewell.sources.readers import staged_frame
-from tidewell.sources.store import Store
+from tidewell.sources.store import Store, folder
 from tidewell.streaming.tee import parsed, tcp_tee
 
 DEFAULT_COLUMNS = {"series": ("name",), "shards": tuple("sid pool server start end".split()), "groups": ("name",), "tags": ("name",), "pools": ("pool", "servers", "series"), "users": ("name", "access"), "servers": tuple("name pool version online status".split())}
 UNLIMITED_ROWS = 1000
 NAME_LENGTH = 255
+Change = Callable[[DataFrame], DataFrame]
+
+
+#: Inserted points that wait in the driver before they are written.
+BUFFER = 100_000
 
 
 class Engine:
-    """points: a frame as in sources/points.py, or none; kinds: the types it may have; store: where inserts are kept, else in the plan."""
+    """points: a frame as in sources/points.py, or none; kinds: the types it may have; store: where inserts are kept.
+
+    Without a store small inserts wait in a buffer, as one local relation of any plan, and larger ones go to a store of the session."""
 
     def __init__(self, spark: SparkSession, points: DataFrame | None = None, kinds: Kinds = KINDS, store: Store | None = None, user: str | None = None, **options: Any) -> None:
         self.spark, self.kinds, self.store, self.user = spark, frozenset(kinds), store, user
@@ -44,6 +51,9 @@ class Engine:
             raise QueryError(f"Unknown time precision: '{self.options.time_precision}'")
         self.names, self.users = Names(), Users()
         self._points = points
+        self._own: Store | None = None
+        self._buffer: list[tuple] = []
+        self._waiting: DataFrame | None = None
         self.next_seq, self.received, self.selected, self.started = 0, 0, 0, time.time()
         self.tees: list[Callable[[DataFrame], None]] = []
 
@@ -56,54 +66,95 @@ class Engine:
     def points(self, span: ast.Span | None = None) -> DataFrame:
         if self.store is not None:
             return self.store.read(span)
-        return self._points if self._points is not None else empty(self.spark)
-
-    def _empty(self) -> bool:
-        return self.store is None and self._points is None
+        parts = [self._points] if self._points is not None else []
+        if self._own is not None:
+            parts.append(self._own.read(span))
+        if self._buffer:
+            if self._waiting is None:
+                self._waiting = self._coerced(self.spark.createDataFrame(self._buffer, STAGED))
+            parts.append(self._waiting)
+        out = parts[0] if parts else empty(self.spark)
+        for more in parts[1:]:
+            out = out.unionByName(more)
+        return out
 
     def insert(self, data: Any) -> dict:
         """Checks, coerces and keeps points; data is a map name -> points or an array of name and points."""
         self._may("insert")
-        stage, n = staged(self.spark, data, self._most_ts, self.next_seq)
-        self.next_seq += n
-        self.received += n
-        self._add(stage)
-        return {"success_msg": f"Successfully inserted {n} point(s)."}
+        found = list(rows(data, self._most_ts, self.next_seq))
+        self.next_seq += len(found)
+        self.received += len(found)
+        straight = self.store is not None or self.tees or self.options.tee or self.options.expiration_num or self.options.expiration_log
+        if straight:
+            self._flush()
+            self._add(self.spark.createDataFrame(found, STAGED))
+        else:
+            self._buffer += found
+            self._waiting = None
+            if len(self._buffer) > BUFFER:
+                self._flush()
+        return {"success_msg": f"Successfully inserted {len(found)} point(s)."}
 
     def insert_frame(self, df: DataFrame) -> None:
         """Points of a frame with series, ts, value and perhaps seq, checked and coerced where they are."""
         self._may("insert")
-        self._add(staged_frame(df, self._most_ts, self.next_seq))
+        self._flush()
+        try:
+            self._add(staged_frame(df, self._most_ts, self.next_seq))
+        except PySparkException as e:
+            raise InsertError(_message(e)) from e
         self.next_seq += 1
 
     @property
     def _most_ts(self) -> int:
         return (1 << 32) - 1 if self.options.time_precision == "s" else (1 << 63) - 1
 
-    def _add(self, stage: DataFrame) -> None:
+    def _target(self) -> Store:
+        """Where points are written."""
+        if self.store is not None:
+            return self.store
+        if self._own is None:
+            self._own = Store(self.spark, folder(self.spark, "session"), self.options.duration_num * self.factor)
+        return self._own
+
+    def _coerced(self, stage: DataFrame) -> DataFrame:
+        """Points of the types that their series have; types are read from their own table, points only of a frame that was given."""
         known = None
-        if not self._empty():
-            known = types_of(self.points().join(stage.select("series").distinct(), "series", "left_semi"))
-        fresh = self._unexpired(coerced(stage, known))
+        if self.store is not None or self._own is not None:
+            known = self._target().types()
+        if self.store is None and self._points is not None:
+            given = types_of(self._points.join(stage.select("series").distinct(), "series", "left_semi"))
+            known = given if known is None else types_of(given.unionByName(known))
+        return coerced(stage, known)
+
+    def _flush(self) -> None:
+        """What waits is written."""
+        if self._buffer and self.store is None:
+            stage, self._buffer, self._waiting = self.spark.createDataFrame(self._buffer, STAGED), [], None
+            self._target().append(self._coerced(stage))
+
+    def _add(self, stage: DataFrame) -> None:
+        fresh = self._unexpired(self._coerced(stage))
         for tee in self.tees:
             tee(fresh)
         if self.options.tee:
             tcp_tee(fresh, self.options.tee)
-        if self.store is not None:
-            self.store.append(fresh)
-        else:
-            self._points = fresh if self._points is None else self._points.unionByName(fresh)
+        self._target().append(fresh)
 
-    def _unexpired(self, points: DataFrame) -> DataFrame:
-        """Without the slices that have ended before their expiration."""
+    def _old(self) -> Column:
+        """Whether a point's slice has ended before its expiration."""
+        old = F.lit(False)
         for log, name in ((False, "num"), (True, "log")):
             age = getattr(self.options, f"expiration_{name}")
             if age:
                 width = getattr(self.options, f"duration_{name}") * self.factor
                 end = F.col("ts") - F.pmod(F.col("ts"), F.lit(width)) + width
-                old = (end < self.clock().now - age) & ((F.col("tp") == "string") == F.lit(log))
-                points = points.where(~old)
-        return points
+                old = old | ((end < self.clock().now - age) & ((F.col("tp") == "string") == F.lit(log)))
+        return old
+
+    def _unexpired(self, points: DataFrame) -> DataFrame:
+        """Without the slices that have ended before their expiration."""
+        return points.where(~self._old())
 
     # statements
 
@@ -192,29 +243,30 @@ class Engine:
 
     # series
 
-    def _look_up(self, name: str) -> Callable[[Column], Column]:
-        if name in self.names.groups:
-            return lambda c: c.rlike(anchored(self.names.groups[name]))
-        if name in self.names.tags:
-            return lambda c: c.isin(*sorted(self.names.tags[name])) if self.names.tags[name] else F.lit(False)
-        raise QueryError(f"Cannot find group or tag '{name}'")
-
-    def series_test(self, match: Any, name: Column) -> Column:
-        return predicate(match, name, self._look_up)
+    def _among(self, points: DataFrame, match: Any) -> DataFrame:
+        """The points whose series are in a set. Tags are tables: one alone is a semi join, in a larger set it marks the series."""
+        if match is None or isinstance(match, ast.All):
+            return points
+        marks: dict[str, str] = {}
+        for name in sorted(refs_in(match)):
+            if name not in self.names.groups and name not in self.names.tags:
+                raise QueryError(f"Cannot find group or tag '{name}'")
+            if name not in self.names.groups:
+                if isinstance(match, ast.Ref):
+                    return points.join(self.names.tags[name], "series", "left_semi")
+                marks[name] = f"_tag_{len(marks)}"
+                points = points.join(self.names.tags[name].select("series", F.lit(True).alias(marks[name])), "series", "left")
+        test = lambda name: (lambda c: F.col(marks[name]).isNotNull()) if name in marks else (lambda c: c.rlike(anchored(self.names.groups[name])))
+        return points.where(predicate(match, F.col("series"), test)).drop(*marks.values())
 
     def catalog(self, match: Any = None, where: Any = None) -> DataFrame:
         """Metadata of the series that match; names and types are tested before anything is summed up."""
-        points = self.points()
-        if match is not None:
-            points = points.where(self.series_test(match, F.col("series")))
-        found = series_catalog(points, self.options, self.factor)
+        found = series_catalog(self._among(self.points(), match), self.options, self.factor)
         return found if where is None else found.where(condition(where, lambda p: F.col(f"`{p}`")))
 
     def matched(self, match: Any, where: Any = None, span: ast.Span | None = None) -> DataFrame:
         """The points of the series that match."""
-        points = self.points(span)
-        if not isinstance(match, ast.All):
-            points = points.where(self.series_test(match, F.col("series")))
+        points = self._among(self.points(span), match)
         if where is None:
             return points
         direct = {"name": F.col("series"), "type": F.col("tp"), "pool": pool_of(F.col("series"), self.options.pools)}
@@ -268,9 +320,11 @@ class Engine:
 
     def _tags(self) -> DataFrame:
         own = self._rows(sorted((n,) for n in self.names.tags), "name string")
-        pairs = [(n, s) for n, found in self.names.tags.items() for s in sorted(found)]
+        pairs = self._rows([], "name string, series string")
+        for name, found in self.names.tags.items():
+            pairs = pairs.unionByName(found.select(F.lit(name).alias("name"), "series"))
         there = self.points().select("series").distinct()
-        n = self._rows(pairs, "name string, series string").join(there, "series", "left_semi").groupBy("name").agg(F.count(F.lit(1)).alias("series"))
+        n = pairs.join(there, "series", "left_semi").groupBy("name").agg(F.count(F.lit(1)).alias("series"))
         return own.join(n, "name", "left").select("name", F.coalesce("series", F.lit(0).cast("long")).alias("series"))
 
     def list(self, stmt: ast.Listing) -> DataFrame:
@@ -356,44 +410,57 @@ class Engine:
             raise QueryError(f"Cannot create tag `{tag}` because a group with this name already exists.")
         if how == "untag":
             self.names.need_tag(tag)
-        found = frozenset(r["name"] for r in self.catalog(stmt.match, stmt.where).select("name").collect())
-        old = self.names.tags.get(tag, frozenset())
-        self.names.tags[tag] = old | found if how == "tag" else old - found
-        return f"Successfully {how}ged {len(found)} series."
-
-    def _keep(self, points: DataFrame) -> None:
-        """points in place of what there was."""
-        if self.store is None:
-            self._points = points
-            return
-        path = f"{self.store.path.rstrip('/')}-{int(time.time() * 1000)}"
-        fresh = Store(self.spark, path, self.store.width)
-        fresh.append(points)
-        self.store = fresh
+        found = self._noted(self.catalog(stmt.match, stmt.where).select(F.col("name").alias("series")))
+        if tag in self.names.tags:
+            old = self.names.tags[tag]
+            self.names.tags[tag] = self._noted(old.unionByName(found).distinct() if how == "tag" else old.join(found, "series", "left_anti"))
+        else:
+            self.names.tags[tag] = found
+        return f"Successfully {how}ged {found.count()} series."
+
+    def _noted(self, names: DataFrame) -> DataFrame:
+        """A table of names as they are now."""
+        path = folder(self.spark, "tag")
+        names.write.parquet(path)
+        return self.spark.read.schema("series string").parquet(path)
+
+    def _remove(self, gone: Change, kept: Change) -> None:
+        """Without some points; gone and kept give those of a frame of points that go and stay. Frames that were given become a store of the session."""
+        if self.store is None and (self._points is not None or self._buffer):
+            fresh = Store(self.spark, folder(self.spark, "session"), self.options.duration_num * self.factor)
+            fresh.append(kept(self.points()))
+            self._points, self._buffer, self._waiting, self._own = None, [], None, fresh
+        else:
+            self._target().remove(gone, kept)
 
     def _guard(self, dropped: int, total: int, ignore: bool, what: str) -> None:
         if total and not ignore and dropped / total >= self.options.drop_threshold and dropped:
             raise QueryError(f"This query would drop {dropped / total:.2%} of the {what} in the database. Add 'set ignore_threshold true' to the query statement if you really want to do this.")
 
     def _drop_series(self, stmt: ast.Change) -> str:
-        gone = self.catalog(stmt.match or ast.All(), stmt.where).select(F.col("name").alias("series"))
+        gone = self._noted(self.catalog(stmt.match or ast.All(), stmt.where).select(F.col("name").alias("series")))
         n, total = gone.count(), self.points().select("series").distinct().count()
         self._guard(n, total, stmt.values["ignore"], "series")
-        self._keep(self.points().join(gone, "series", "left_anti").select(*self.points().columns))
+        if n:
+            self._remove(lambda p: p.join(gone, "series", "left_semi"), lambda p: p.join(gone, "series", "left_anti"))
         return f"Successfully dropped {n} series."
 
     def _drop_shards(self, stmt: ast.Change) -> str:
-        every = self.entity("shards")
-        gone = self.entity("shards", where=stmt.where).select("pool", "type", "start", "end")
-        n, total = gone.count(), every.count()
+        total = self.entity("shards").count()
+        path = folder(self.spark, "shards")
+        self.entity("shards", where=stmt.where).select(F.col("pool").alias("_pool"), F.col("type").alias("_type"), F.col("start").alias("_start")).write.parquet(path)
+        gone = self.spark.read.schema("_pool int, _type string, _start long").parquet(path)
+        n = gone.count()
         self._guard(n, total, stmt.values["ignore"], "shards")
-        kind = F.when(F.col("tp") == "string", F.lit("log")).otherwise(F.lit("number"))
-        points = self.points().withColumns({"_pool": pool_of(F.col("series"), self.options.pools).cast("int"), "_type": kind})
 
-        width = F.when(F.col("_type") == "log", F.lit(self.options.duration_log * self.factor)).otherwise(F.lit(self.options.duration_num * self.factor))
-        points = points.withColumn("_start", F.col("ts") - F.pmod(F.col("ts"), width))
-        on = (points["_pool"] == gone["pool"]) & (points["_type"] == gone["type"]) & (points["_start"] == gone["start"])
-        self._keep(points.join(gone, on, "left_anti").select(*self.points().columns))
+        def joined(points: DataFrame, how: str) -> DataFrame:
+            log = F.col("tp") == "string"
+            width = F.when(log, F.lit(self.options.duration_log * self.factor)).otherwise(F.lit(self.options.duration_num * self.factor))
+            rows = points.withColumns({"_pool": pool_of(F.col("series"), self.options.pools).cast("int"), "_type": F.when(log, F.lit("log")).otherwise(F.lit("number")), "_start": F.col("ts") - F.pmod(F.col("ts"), width)})
+            return rows.join(gone, ["_pool", "_type", "_start"], how).select(*points.columns)
+
+        if n:
+            self._remove(lambda p: joined(p, "left_semi"), lambda p: joined(p, "left_anti"))
         return f"Successfully dropped {n} shards."
 
     def _alter_database(self, stmt: ast.Change) -> str:
@@ -413,15 +480,15 @@ class Engine:
                 raise QueryError(f"Database '{self.options.dbname}' is already set to time-zone '{value}'.")
         self.options = replace(self.options, **{prop: value})
         if prop.startswith("expiration"):
-            before, after = self.entity("shards").count(), None
-            kept = self._unexpired(self.points())
-            after = shard_catalog(kept, self.options, self.factor).count()
+            before = self.entity("shards").count()
+            after = shard_catalog(self._unexpired(self.points()), self.options, self.factor).count()
             try:
                 self._guard(before - after, before, stmt.values["ignore"], "shards")
             except QueryError:
                 self.options = replace(self.options, **{prop: old})
                 raise
-            self._keep(kept)
+            if after < before:
+                self._remove(lambda p: p.where(self._old()), self._unexpired)
         if prop == "tee":
             return "Successfully disabled tee." if value is None else f"Successfully configured tee to {value}."
         return f"Successfully changed {prop.replace('_', ' ') if prop != 'drop_threshold' else prop} from {old} to {value}."

@@ -1,4 +1,4 @@
-"""Series selection: set algebra over names as one predicate, which reaches the scan; no joins."""
+"""Series selection: set algebra over names as one predicate, which reaches the scan; of tags it tests marks that joins have made."""
 
 from __future__ import annotations
 
@@ -78,6 +78,18 @@ def names_in(match) -> set[str]:
     return out
 
 
+def refs_in(match) -> set[str]:
+    """The groups and tags that the set states."""
+    out, todo = set(), [match]
+    while todo:
+        at = todo.pop()
+        if isinstance(at, ast.Ref):
+            out.add(at.name)
+        elif isinstance(at, ast.SetOp):
+            todo += [at.left, at.right]
+    return out
+
+
 TEXT_OPS = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b, "~": lambda a, b: a.contains(b), "!~": lambda a, b: ~a.contains(b)}
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidewell.engine import Engine
 from tidewell.sources.points import from_frame, micros
-from tidewell.sources.store import Store
+from tidewell.sources.readers import csv_points
+from tidewell.sources.store import Store, folder
 from tidewell.streaming.ingest import into_store
 
 Make = Callable[[SparkSession, str], DataFrame]
@@ -238,14 +237,9 @@ _kept = "CASE WHEN series IN ('view', 'click') THEN {} ELSE {} END"
 add("insert_frame", framed, f"SELECT series, {label(DAY)} AS ts, {_kept.format(repr('integer'), repr('float'))} AS type, round(sum({_kept.format('trunc(value)', 'value')}), 7) AS value FROM events_ GROUP BY 1, 2")
 
 
-def _folder(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewell-")
-    return f"{found.rstrip('/')}/points-{uuid.uuid4().hex}"
-
-
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points written in time slices; the range reads only the slices it meets."""
-    store = Store(spark, _folder(spark), 7 * DAY)
+    store = Store(spark, folder(spark, "points"), 7 * DAY)
     store.append(events(spark, sf_dir))
     own = Engine(spark, kinds={"float"}, store=store, time_precision="us", timezone="UTC")
     return rounded(own.query('select count(1d) from * between "2024-01-10" and "2024-01-20"'))
@@ -259,7 +253,7 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     stream = from_frame(raw, F.col("event_type"), micros(F.col("ts")), F.col("value"), "float", F.col("event_id"))
-    path = _folder(spark)
+    path = folder(spark, "points")
     store = Store(spark, path, 7 * DAY)
     into_store(stream, store, f"{path}-progress").awaitTermination()
     return rounded(Engine(spark, kinds={"float"}, store=store, time_precision="us").query("select sum(1d) from *"))
@@ -267,5 +261,69 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("stream_ingest", streamed, f"SELECT series, {label(DAY)} AS ts, round(sum(value), 7) AS value FROM events_ GROUP BY 1, 2")
 
+
+
+def inserted(data: list, text: str, first: tuple[str, ...] = (), **options) -> Make:
+    """A statement on an engine of its own that got each of data by one insert."""
+
+    def make(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = Engine(spark, **{"time_precision": "s", "timezone": "UTC", **options})
+        for each in data:
+            own.insert(each)
+        for before in first:
+            own.run(before)
+        return own.query(text)
+
+    return make
+
+
+def values(*rows: tuple, columns: str = "series, ts, value") -> str:
+    return f"SELECT * FROM (VALUES {', '.join(repr(r) for r in rows)}) AS t({columns})"
+
+
+THREE = [{"ab": [[1, 1], [2, 2]], "ac": [[3, 3]], "b": [[4, 4]]}]
+add("insert_array", inserted([[{"name": "x", "points": [[2, 5], [1, 4]]}, {"name": "y", "points": [[1, 9]]}]], "select * from * where type == integer"), values(("x", 1, 4), ("x", 2, 5), ("y", 1, 9)), "")
+add("insert_many_times", inserted([{f"s{k % 3}": [[k, k]]} for k in range(200)], "select sum(100) from * where type == integer"), "SELECT 's' || k % 3 AS series, (k + 99) // 100 * 100 AS ts, CAST(sum(k) AS BIGINT) AS value FROM range(200) AS t(k) GROUP BY 1, 2", "")
+add("comments_and_now", inserted([{"old": [[5, 1]], "new": [[4000000000, 2]]}], "select * from * where type == integer before now  # not what is to come"), values(("old", 5, 1)), "")
+add("merge_nothing_matched", inserted(THREE, 'select sum(10) from "none" where type == integer merge as "m"'), values(("m", 1, 1)) + " WHERE FALSE", "")
+add("alter_group", inserted(THREE, "select count() from `h`", ("create group `g` for /b/", "alter group `g` set expression /a.*/", "alter group `g` set name \"h\"")), values(("ab", 2, 2), ("ac", 3, 1)), "")
+add("drop_group", inserted(THREE, "list groups name, series", ("create group `g` for /b/", "create group `h` for /a.*/", "drop group `g`")), values(("h", 2), columns="name, series"), "")
+add("alter_tag", inserted(THREE, "select count() from `u` - /.*c/", ("alter series /a.*/ tag `t`", 'alter tag `t` set name "u"')), values(("ab", 2, 2)), "")
+add("drop_tag", inserted(THREE, "list tags name, series", ("alter series /a.*/ tag `t`", 'alter series "b" tag `u`', "drop tag `t`")), values(("u", 1), columns="name, series"), "")
+add("tag_props", inserted(THREE, "list tags name, series where series > 1", ("alter series /a.*/ tag `t`", 'alter series "b" tag `u`')), values(("t", 2), columns="name, series"), "")
+add("set_tags_mixed", inserted(THREE, "select count() from (`t` ^ `u`) | /b/", ("alter series /a.*/ tag `t`", "alter series /ac/ tag `u`")), values(("ab", 2, 2), ("b", 4, 1)), "")
+add("user_props", inserted(THREE, "list users where access >= insert", ('create user "ann" set password "secret"', 'grant read, insert to user "ann"', 'create user "bob" set password "secret"', 'grant show to user "bob"')), values(("admin", "full"), ("ann", "write"), columns="name, access"), "")
+_slots = """
+SELECT name, CASE WHEN h % 2 = 0 THEN CASE WHEN (h // 2 + 1) % 3 = 0 THEN 2 ELSE 0 END ELSE CASE WHEN ((h + 1) // 2 + 1) % 3 = 0 THEN 2 ELSE 1 END END AS pool
+FROM (SELECT name, CAST(list_sum([ascii(c) FOR c IN string_split(name, '')]) % 8192 AS BIGINT) AS h FROM (VALUES ('ab'), ('ac'), ('b')) AS t(name))"""
+add("pool_hash", inserted(THREE, "list series name, pool", pools=3), _slots, "")
+add("expiration_on_write", inserted([{"a": [[1000, 1]]}, {"a": [[4000000000, 2]]}], "select * from * where type == integer", expiration_num=3600), values(("a", 4000000000, 2)), "")
+add("alter_database", inserted(THREE, "show drop_threshold, timezone", ("alter database set drop_threshold 0.5", "alter database set timezone 'Europe/Berlin'")), values(("drop_threshold", "0.5"), ("timezone", "Europe/Berlin"), columns="name, value"), "")
+
+
+def csv_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV file of points, written first, inserted as a frame."""
+    path = folder(spark, "csv")
+    events(spark, sf_dir).select("series", "ts", F.col("vd").alias("value")).write.csv(path, header=True)
+    own = Engine(spark, time_precision="us", timezone="UTC")
+    own.insert_frame(csv_points(spark, path))
+    return rounded(own.query("select sum(1d) from * where type == float"))
+
+
+add("csv_insert", csv_insert, f"SELECT series, {label(DAY)} AS ts, round(sum(value), 7) AS value FROM events_ GROUP BY 1, 2")
+
+
+def teed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a second sink got of inserts."""
+    got: list[DataFrame] = []
+    own = Engine(spark, time_precision="s")
+    own.tees.append(lambda fresh: got.append(fresh.select("series", "ts", F.col("vi").alias("value"))))
+    own.insert({"i": [[1, 7], [2, "8 x"]]})
+    own.insert({"i": [[3, 9.7]]})
+    return got[0].unionByName(got[1])
+
+
+add("tee", teed, values(("i", 1, 7), ("i", 2, 8), ("i", 3, 9)), "")
+
 QUERIES: dict[str, Make] = {name: make for name, (make, _) in FOUND.items()}
 SQL: dict[str, str] = {name: sql for name, (_, sql) in FOUND.items()}
