@@ -36,7 +36,7 @@ CHUNK = 1 << 16
 ROWS = 1024
 #: Where a text can be cut without changing its ids: no token reaches from one of these characters to a space behind it.
 CUT = re.compile(r"(?<=[!-~\u00c0-\u024f])(?= )")
-CACHED = 200_000
+CACHED, CACHED_CHARS = 200_000, 64
 
 
 def escaped(text: str, control: re.Pattern = CONTROL) -> str:
@@ -70,7 +70,7 @@ class Codec:
         self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as 32-bit integers; its parts are encoded once for as long as they stay in a bounded cache."""
+        """The ids of each text as 32-bit integers; its short parts are encoded once for as long as they stay in a bounded cache."""
         parts = [CUT.split(x) if x else [] for x in texts]
         if len(self.new) > CACHED:
             self.old, self.new = self.new, {}
@@ -81,7 +81,11 @@ class Codec:
         for batch in balanced(sorted(missing.difference(old))):
             found = self.library.encode_batch_fast(batch, add_special_tokens=False)
             new.update((part, np.array(x.ids, np.int32).tobytes()) for part, x in zip(batch, found, strict=True))
-        return [b"".join(map(new.__getitem__, x)) for x in parts]
+        out = [b"".join(map(new.__getitem__, x)) for x in parts]
+        for part in missing:
+            if len(part) > CACHED_CHARS:
+                del new[part]
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")

@@ -30,8 +30,11 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset and all run in one process, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share.")
+    return (found or _own_dir()).rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -66,6 +69,8 @@ BITMAPS, BITS = 1024, 32768
 def perhaps_in(df: DataFrame, column: str, ids: DataFrame, flag: str = "_maybe") -> DataFrame:
     """df with a flag: false only where the column's value is not among ids (a frame of one column of the same type).
 
+    With so many ids that most bits are set the flag is true for nearly all rows and saves nothing; results stay the same.
+
     The ids' hashes set bits in BITMAPS broadcast rows, 4 MB for any number of ids; the flag keeps rows that cannot
     meet out of a shuffle and is never the answer itself."""
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAPS * BITS)) + 1

@@ -37,7 +37,7 @@ PERMUTATIONS, MOST_MISSED = 96, 1e-6
 #: For contracts that state none: five words and 0.8.
 SHINGLE, PERCENT = 5, 80
 ROWS = 256
-CACHED = 200_000
+CACHED, CACHED_BYTES = 200_000, 64
 #: Documents and shingles in a cell of a block, at most, about.
 CELL, CELL_SHINGLES = 512, 1_000_000
 #: Signatures in a cell of a bucket, at most, about; how many standard errors an estimate may lie below the threshold.
@@ -47,9 +47,11 @@ S = np.uint64(32)
 
 
 class Words(dict):
-    """Hashes of words, kept for the frequent ones."""
+    """Hashes of words, kept for short ones."""
 
     def __missing__(self, word: bytes) -> int:
+        if len(word) > CACHED_BYTES:
+            return xxhash.xxh3_64_intdigest(word)
         if len(self) > CACHED:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)

@@ -26,7 +26,8 @@ from tidewell.llm.common import table
 VOCABULARY = "word_bpe_49k.json"
 BATCH_BYTES = 1 << 18
 ROWS = 256
-CACHED = 400_000
+#: Segments kept at most, and characters in one: longer ones are rare and would fill the memory.
+CACHED, CACHED_CHARS = 400_000, 64
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
 
 
@@ -91,7 +92,7 @@ def _drops_space(pre: dict) -> bool:
 
 
 class Counter:
-    """Token counts of texts, with a cache of at most two times CACHED segments."""
+    """Token counts of texts, with a cache of at most two times CACHED segments of CACHED_CHARS characters."""
 
     def __init__(self, path: str, batch_bytes: int = BATCH_BYTES, cached: int = CACHED) -> None:
         self.lengths, self.safe = encoder(path)
@@ -112,7 +113,11 @@ class Counter:
             new[segment] = old[segment]
         for batch in balanced(sorted(missing.difference(old)), self.batch_bytes):
             new.update(zip(batch, self.lengths(batch), strict=True))
-        return [sum(map(new.__getitem__, parts)) for parts in segments]
+        out = [sum(map(new.__getitem__, parts)) for parts in segments]
+        for segment in missing:
+            if len(segment) > CACHED_CHARS:
+                del new[segment]
+        return out
 
 
 def token_counts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = VOCABULARY, most_tokens: int = 2048) -> DataFrame:
