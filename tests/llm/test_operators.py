@@ -125,6 +125,32 @@ def test_licence_gate_passes_what_can_be_confirmed():
             assert gate.search(" -- ".join(m["names"][i] for i in rng.permutation(ids)[:least]))
 
 
+def test_licences_by_hand(spark):
+    """Lines made of templates and other prose, scored anew with numpy from the model's weights."""
+    import random
+
+    m, rng = licences.model(), random.Random(9)
+    noise = [w for t in licences.OTHER for w in t.split()]
+    lines = []
+    for t in [t for ts in licences.TEMPLATES.values() for t in ts] * 3 + licences.OTHER:
+        kept = [w if rng.random() > 0.1 else rng.choice(noise) for w in t.split() if rng.random() > 0.1]
+        lines.append(" ".join(rng.choices(noise, k=rng.choice((0, 4, 20))) + kept))
+    place = {f: i for i, f in enumerate(m["names"])}
+    weights, intercepts = np.array(m["weights"]) / licences.SCALE, np.array(m["intercepts"]) / licences.SCALE
+    want = []
+    for line in lines:
+        w = re.findall(r"[^\W_]+", line.lower())
+        ids = {place[f] for f in [*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))] if f in place}
+        score = intercepts + weights[:, sorted(ids)].sum(1)
+        p = np.exp(score - score.max())
+        k = int(p.argmax())
+        sure = k < len(m["families"]) and p[k] / p.sum() >= m["limit"]
+        held = any(len(ids & set(t)) >= licences.CONFIRMED * len(t) for t, owner in zip(m["pairs"], m["owners"], strict=True) if owner == k)
+        want.append(m["families"][k] if sure and held else "")
+    found = licences.scanned(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["families"] for r in found] == want and 50 < sum(map(bool, want)) < len(want)
+
+
 def test_wrapped_licences(spark):
     long = [(f, t) for f, ts in licences.TEMPLATES.items() for t in ts if len(t) > 90]
     cases = [(f, "Some prose stands here\n\n" + "\n".join(mark + x for x in textwrap.wrap(t, width)) + "\n\nand more of it") for f, t in long for width in (72, 30) for mark in ("", " * ", "# ")]
