@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from tidewell.errors import QueryError
 from tidewell.operators.buckets import with_label
+from tidewell.operators.neighbours import by_time
 from tidewell.operators.series_set import TEXT_OPS, anchored
 from tidewell.plans.ast import Func, Regex
 from tidewell.sources.points import COLUMNS, KIND, VALUE, place
@@ -37,8 +38,8 @@ def step(points: DataFrame, kinds: Kinds, func: Func) -> tuple[DataFrame, Kinds]
     if name == "timeval":
         return _shaped(points, "integer", F.col("ts"), keep=True), frozenset({"integer"})
     if name == "interval":
-        by_time = Window.partitionBy("series").orderBy("ts", "origin", "seq")
-        df = points.withColumn("_gap", F.col("ts") - F.lag("ts").over(by_time)).where("_gap IS NOT NULL")
+        df, window, own = by_time(points)
+        df = df.withColumn("_gap", F.col("ts") - F.lag("ts").over(window)).where(own & F.col("_gap").isNotNull())
         return _shaped(df, "integer", F.col("_gap"), keep=True), frozenset({"integer"})
     if name == "limit":
         return limited(points, kinds, *args)
@@ -171,32 +172,31 @@ def medians(points: DataFrame, kinds: Kinds, name: str, label: Column | None) ->
 
 
 def differences(points: DataFrame, kinds: Kinds) -> tuple[DataFrame, Kinds]:
-    by_time = Window.partitionBy("series").orderBy("ts", "origin", "seq")
-    df = points.withColumn("_k", F.row_number().over(by_time))
+    df, window, own = by_time(points, *[VALUE[t] for t in ("integer", "float") if t in kinds])
+    df = df.withColumn("_k", F.row_number().over(window))
     cells = {}
     if "string" in kinds:
         df = df.withColumn("_bad", _no_strings(kinds, "difference", "long"))
     if "integer" in kinds:
-        before = F.lag("vi").over(by_time)
+        before = F.lag("vi").over(window)
         rise = F.try_subtract(F.col("vi"), before)
         cells["vi"] = _overflow(rise, rise.isNull() & before.isNotNull() & F.col("vi").isNotNull(), "difference")
     if "float" in kinds:
-        cells["vd"] = F.col("vd") - F.lag("vd").over(by_time)
+        cells["vd"] = F.col("vd") - F.lag("vd").over(window)
     if cells:
         df = df.withColumns(cells)
     if "string" in kinds:
         df = df.withColumn("vi", F.coalesce("_bad", "vi")).where(F.col("_bad").isNull())
-    return df.where("_k > 1").select(*COLUMNS), kinds
+    return df.where(own & (F.col("_k") > 1)).select(*COLUMNS), kinds
 
 
 def slopes(points: DataFrame, kinds: Kinds, span: int) -> tuple[DataFrame, Kinds]:
     """Rise by time between neighbours; equal times give infinity or NaN as division of floats does."""
-    by_time = Window.partitionBy("series").orderBy("ts", "origin", "seq")
-    df = points.withColumn("_x", _double(kinds, "derivative"))
-    df = df.withColumn("_rise", F.col("_x") - F.lag("_x").over(by_time)).withColumn("_run", (F.col("ts") - F.lag("ts").over(by_time)).cast("double"))
+    df, window, own = by_time(points.withColumn("_x", _double(kinds, "derivative")), "_x")
+    df = df.withColumn("_rise", F.col("_x") - F.lag("_x").over(window)).withColumn("_run", (F.col("ts") - F.lag("ts").over(window)).cast("double"))
     if "string" in kinds:
         df = df.where(F.col("_x").isNotNull())
-    df = df.where("_run IS NOT NULL")
+    df = df.where(own & F.col("_run").isNotNull())
     flat = F.when((F.col("_rise") > 0) & ~F.isnan("_rise"), F.lit(math.inf)).when(F.col("_rise") < 0, F.lit(-math.inf)).otherwise(F.lit(math.nan))
     return _shaped(df, "float", F.when(F.col("_run") == 0, flat).otherwise(F.try_divide("_rise", "_run")) * F.lit(float(span)), keep=True), frozenset({"float"})
 
