@@ -7,10 +7,11 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, embeddings, licences, minhash, mixing, pieces, quality, token_counts, url_filter, warc
+from tidewell.llm import chat, common, embeddings, licences, minhash, mixing, pieces, quality, token_counts, url_filter, warc
 from tidewell.llm.common import perhaps_in, words
 from tidewell.llm.components import components
 
@@ -796,3 +797,24 @@ def test_pieces_are_the_librarys(spark, docs):
         ids = library.encode(t or "")
         assert by[i]["ids"] == ids and by[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()
     assert pieces.encoded(none(spark)).count() == 0
+
+
+def test_workers_hold_no_other_operators_caches():
+    pieces.transducer(pieces.MODEL)
+    assert list(common.lean(lambda batches: batches, pieces.transducer)(iter([1, 2]))) == [1, 2] and pieces.transducer.cache_info().currsize == 1
+    assert list(common.lean(lambda batches: batches)(iter([1, 2]))) == [1, 2] and pieces.transducer.cache_info().currsize == 0
+
+
+def test_near_duplicates_get_small_batches(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{i} " + "word " * 20_000) for i in range(120)], "doc_id long, text string").coalesce(1)
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    most = lambda small: common.written(docs.mapInArrow(sizes, "n long"), "sizes", small_batches=small).agg(F.max("n"), F.sum("n")).first()
+    assert most(False)[0] > 10e6 and most(True)[0] < 3e6 and most(True)[1] > 10e6
+    assert spark.conf.get(common.BATCH_BYTES, None) is None
+    spark.conf.set(common.BATCH_BYTES, "1m")  # the session's own bound holds
+    assert most(True)[0] < 1.5e6 and spark.conf.get(common.BATCH_BYTES) == "1m"
+    spark.conf.unset(common.BATCH_BYTES)
+    asked = {}
+    monkeypatch.setattr(minhash, "written", lambda df, name, small_batches=False: asked.update({name: small_batches}) or common.written(df, name, small_batches))
+    assert minhash.near_duplicates(docs.limit(3)).count() == 3
+    assert {k for k, v in asked.items() if v} == {"sketches", "alike", "links"}

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,14 +41,63 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or _own_dir()).rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: what it took is not computed again, and no executor's loss undoes it."""
+#: What bounds a batch that goes to a Python worker (64 MB as Spark has it), and the bound where batches are looked at row by row.
+BATCH_BYTES, SMALL_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "2m"
+
+
+def written(df: DataFrame, name: str, small_batches: bool = False) -> DataFrame:
+    """df as a table in the shared folder: what it took is not computed again, and no executor's loss undoes it.
+
+    small_batches: workers get SMALL_BATCH at once, unless the session says otherwise; executor and worker each hold a batch or two for every task, beside the heap."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    small_batches = small_batches and spark.conf.get(BATCH_BYTES, None) is None
+    if small_batches:
+        spark.conf.set(BATCH_BYTES, SMALL_BATCH)
+    try:
+        df.write.parquet(path)
+    finally:
+        if small_batches:
+            spark.conf.unset(BATCH_BYTES)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Functions with a cache that stays in a Python worker from task to task.
+_STAYING: list = []
+
+
+def staying(cached: Callable) -> Callable:
+    """cached, a function with an lru_cache, registered as one whose results go when the worker turns to another operator."""
+    _STAYING.append(cached)
+    return cached
+
+
+def lean(body: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], own: Callable | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """body, for mapInArrow, in a worker that holds no other operator's caches; own: the one of staying() that body uses.
+
+    Spark hands workers on to later tasks and never takes memory from them, and what they hold counts to the executor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        others = [x for x in _STAYING if x is not own and x.cache_info().currsize]
+        for x in others:
+            x.cache_clear()
+        if others:
+            _give_back()
+        yield from body(batches)
+        _give_back()
+
+    return run
+
+
+def _give_back() -> None:
+    """Memory that is free inside this process goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import perhaps_in, table, written
+from tidewell.llm.common import lean, perhaps_in, table, written
 from tidewell.llm.components import components
 
 PERMUTATIONS, MOST_MISSED = 96, 1e-6
@@ -138,7 +138,7 @@ def sketches(docs: DataFrame, id_column: str, text_column: str, width: int, perc
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(short, pa.binary())], ["id", "n", "key", "buckets", "signature"])
 
     rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").alias("text"))
-    return rows.mapInArrow(sketch, "id long, n long, key binary, buckets array<bigint>, signature binary")
+    return rows.mapInArrow(lean(sketch), "id long, n long, key binary, buckets array<bigint>, signature binary")
 
 
 def linked(percent: int, common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -239,7 +239,7 @@ def resembling(classes: DataFrame, percent: int) -> DataFrame:
             yield out(found)
         yield out(alike(ids, sides, sizes, signatures, least, percent))
 
-    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "a long, b long")
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(lean(compare), "a long, b long")
 
 
 def alike(ids: list[int], sides: list[int], sizes: list[int], signatures: list[bytes], least: int, percent: int) -> list[tuple[int, int]]:
@@ -319,19 +319,19 @@ def links(docs: DataFrame, members: DataFrame, id_column: str, text_column: str,
     key = ["g", "lo", "lo_cell", "hi", "hi_cell"]
     texts = perhaps_in(texts, "id", members.select("id")).where("_maybe").drop("_maybe")
     rows = texts.join(blocks(members, percent), "id").repartition(*key).sortWithinPartitions(*key, "id")
-    return rows.mapInArrow(confirm, "a long, b long")
+    return rows.mapInArrow(lean(confirm), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, component_id and kept of every row of docs."""
-    seen = written(sketches(docs, id_column, text_column, width, percent), "sketches")
+    seen = written(sketches(docs, id_column, text_column, width, percent), "sketches", small_batches=True)
     classes = written(seen.where("key IS NOT NULL").groupBy("key").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "n", "buckets", "signature"))).alias("x")).select("key", "x.*"), "classes")
     own = classes.where("id IS NOT NULL AND buckets IS NOT NULL")
     own = own.groupBy("id").agg(F.max(F.struct("n", "key", "buckets", "signature")).alias("x")).select("id", "x.n", "x.buckets", "x.signature")
-    coarse = components(written(resembling(own, percent), "alike"), "coarse")
+    coarse = components(written(resembling(own, percent), "alike", small_batches=True), "coarse")
     members = classes.where("id IS NOT NULL").groupBy("id").agg(F.max("n").alias("n")).join(coarse.select(F.col("node").alias("id"), F.col("component").alias("g")), "id")
     members = written(members, "members")
-    found = components(written(links(docs, members, id_column, text_column, width, percent), "links"), "duplicates")
+    found = components(written(links(docs, members, id_column, text_column, width, percent), "links", small_batches=True), "duplicates")
     ends = classes.join(found, classes["id"] == found["node"], "left").select("key", F.coalesce("component", "id").alias("component_id"))
     rows = seen.select("id", "n", "key").join(ends, "key", "left")
     whole = F.coalesce("component_id", "id")

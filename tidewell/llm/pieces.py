@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import table
+from tidewell.llm.common import lean, staying, table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -190,6 +190,7 @@ class Transducer:
         return text[1:] if self.prefix and ids and self.pieces[ids[0]].startswith(SPACE) else text
 
 
+@staying
 @lru_cache(maxsize=2)
 def transducer(name: str) -> Transducer:
     from tidewell.llm.token_counts import vocabulary_path
@@ -218,7 +219,7 @@ def encoded(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"))
-    return rows.mapInArrow(encode, f"id {kind}, ids array<int>, n_ids long, ids_sha256 string, round_trip boolean").withColumnRenamed("id", id_column)
+    return rows.mapInArrow(lean(encode, transducer), f"id {kind}, ids array<int>, n_ids long, ids_sha256 string, round_trip boolean").withColumnRenamed("id", id_column)
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
